@@ -116,3 +116,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     ends = e.groupBy("u").agg(F.min("v").alias("component"))
     return ends.select(F.col("u").alias("node"), "component").union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+#: Bits of a bitmap that tells rows whose key may be in a set; 128 kB are broadcast, at any input size.
+BITMAP_BITS = 1 << 20
+
+
+def perhaps_in(df: DataFrame, key: Column, keys: DataFrame, name: str = "perhaps") -> DataFrame:
+    """df with a boolean column: false where ``key`` is surely not in ``keys`` (a table with the one column).
+
+    A bitmap of hashes is broadcast, so nothing is shuffled. It spares most rows a join; if the keys are
+    so many that it fills up, all rows are marked and the join that follows does the work.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS)).cast("int")
+    k = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(BITMAP_BITS)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(k, F.lit(64)))
+    words = keys.select(F.floor(k / 64).cast("int").alias("__word"), one.alias("b")).groupBy("__word").agg(F.bit_or("b").alias("__bits"))
+    bit = F.call_function("shiftrightunsigned", F.col("__bits"), F.pmod(at, F.lit(64))).bitwiseAND(F.lit(1)) == 1
+    return df.withColumn("__word", F.floor(at / 64).cast("int")).join(F.broadcast(words), "__word", "left").withColumn(name, F.coalesce(bit, F.lit(False))).drop("__word", "__bits")

@@ -20,10 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import SPACE_CLASS, Scratch, cut, scratch, settings
+from sievework.llm.common import SPACE_CLASS, Scratch, cut, perhaps_in, scratch, settings
 
-#: Bits of the bitmap that spares texts without a hit the byte check; 128 kB.
-BITMAP_BITS = 1 << 20
 STATE = {
     "spark__sql__streaming__stateStore__providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled": "true",
@@ -90,12 +88,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
 
 def _unequal(base: DataFrame, state: DataFrame, digest) -> DataFrame:
     """Digests with more than one text. Only texts whose digest may be a hit are compared."""
-    hits = state.where("n > 1")
-    bit = F.pmod(F.xxhash64("digest"), F.lit(BITMAP_BITS))
-    word, place = F.floor(bit / 64).cast("int"), F.pmod(bit, F.lit(64)).cast("int")
-    words = hits.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    maybe = base.withColumn("digest", digest(F.col("norm"))).withColumn("w", word)
-    maybe = maybe.join(F.broadcast(words), "w").where(F.call_function("shiftright", F.col("b"), place).bitwiseAND(F.lit(1)) == 1)
+    maybe = perhaps_in(base.withColumn("digest", digest(F.col("norm"))), F.col("digest"), state.where("n > 1").select("digest")).where("perhaps")
     return maybe.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("z")).where("a <> z").select("digest")
 
 

@@ -1,6 +1,6 @@
 """Similarity join of documents by n-gram sets, verified by prefix-tree traversal.
 
-1. Each document becomes the set of its distinct word n-grams (64-bit hashes). Documents with the
+1. Each document becomes the set of its distinct word n-grams (64-bit hashes; 48 bits are stored for step 3). Documents with the
    same set are collapsed to one representative.
 2. Hash space is cut into k + 1 ranges, where k is the largest symmetric difference that two linked
    sets of this size can have. Linked sets agree on at least one whole range, so equal range
@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import components, cut, scratch, text_bytes
+from sievework.llm.common import components, cut, perhaps_in, scratch, text_bytes
 
 #: Sets that one task compares with each other hold at most two blocks.
 BLOCK = 2048
@@ -120,6 +120,17 @@ def signatures(grams, sizes: Sizes):
     return np.concatenate(out)
 
 
+def stored(grams) -> bytes:
+    """The upper six bytes of each hash. Two sets that meet in a check share a wrong n-gram once in about 10^9 times."""
+    return np.ascontiguousarray(grams.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def loaded(raw: bytes):
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(">u8").astype(np.uint64)
+
+
 def set_rows(n: int, threshold: Fraction, lower: bool):
     def run(batches):
         import hashlib
@@ -145,7 +156,7 @@ def set_rows(n: int, threshold: Fraction, lower: bool):
                 g = grams_of(np.fromiter(map(known.__getitem__, w), dtype=np.uint64, count=len(w)), n)
                 raw = g.tobytes()
                 ns.append(len(g))
-                grams.append(raw)
+                grams.append(stored(g))
                 digests.append(hashlib.blake2b(raw, digest_size=16).digest() if len(g) else None)
                 keys.append(signatures(g, sizes).tobytes() if len(g) else b"")
             yield pa.RecordBatch.from_arrays(
@@ -254,8 +265,10 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4
         sets = tmp.table(base.mapInArrow(set_rows(n, threshold, lower), SETS), "sets")
         rows = sets.select("rid", "doc_id", "n_shingles", "digest", "text_hash")
         same = cut(rows.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("low")))
-        reps = sets.join(same.select(F.col("rep").alias("rid")), "rid", "left_semi")
-        keys = reps.select("rid", "keys").mapInArrow(key_rows, "rid long, key long").repartition("key")
+        copies = cut(rows.where("digest is not null").join(same, "digest").where("rid <> rep").select("rid"))
+        asked = perhaps_in(sets.where("digest is not null").select("rid", "keys"), F.col("rid"), copies)
+        reps = asked.where("NOT perhaps").drop("perhaps").union(asked.where("perhaps").drop("perhaps").join(copies, "rid", "left_anti"))
+        keys = reps.mapInArrow(key_rows, "rid long, key long").repartition("key")
         hubs = keys.groupBy("key").agg(F.min("rid").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
         near = keys.join(hubs.hint("shuffle_hash"), "key").where("rid <> hub").select(F.col("rid").alias("u"), F.col("hub").alias("v"))
         found = components(_verify(sets, components(near), threshold, block))
@@ -272,7 +285,8 @@ def _verify(sets: DataFrame, clusters: DataFrame, t: Fraction, block: int) -> Da
     sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("size")), "component")
     parts = F.ceil(F.col("size") / F.lit(block)).cast("int")
     part = F.when(parts <= 2, 0).otherwise(F.pmod(F.xxhash64("node"), parts).cast("int"))
-    dealt = sized.select(F.col("node").alias("rid"), "component", parts.alias("parts"), part.alias("part")).join(sets.select("rid", "grams"), "rid")
+    some = perhaps_in(sets.select("rid", "grams"), F.col("rid"), clusters.select("node")).where("perhaps").drop("perhaps")
+    dealt = sized.select(F.col("node").alias("rid"), "component", parts.alias("parts"), part.alias("part")).join(some, "rid")
     # two blocks are a unit (lower, higher); clusters of up to two blocks have the one unit (0, 0)
     other = F.when(F.col("parts") <= 2, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("part")))
     units = dealt.withColumn("other", F.explode(other)).select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rid", "grams")
@@ -283,7 +297,7 @@ def _verify(sets: DataFrame, clusters: DataFrame, t: Fraction, block: int) -> Da
         rids = table.column("rid").to_pylist()
         order = sorted(range(len(rids)), key=rids.__getitem__)
         grams = table.column("grams").to_pylist()
-        pairs = linked([np.frombuffer(grams[k], dtype=np.uint64) for k in order], t)
+        pairs = linked([loaded(grams[k]) for k in order], t)
         return pa.table({"u": pa.array([rids[order[a]] for a, _ in pairs], pa.int64()), "v": pa.array([rids[order[b]] for _, b in pairs], pa.int64())})
 
     return units.groupBy("component", "i", "j").applyInArrow(check, "u long, v long")

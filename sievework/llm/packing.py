@@ -24,7 +24,7 @@ from sievework.llm.common import cut, text_bytes
 
 WINDOW = 2048
 #: Pieces a packing group holds, about; a group is one task's work.
-GROUP_PIECES = 8192
+GROUP_PIECES = 32768
 #: Distinct words remembered by one task before its table starts anew.
 REMEMBERED = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"

@@ -36,7 +36,36 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), n=3, threshold=Fraction(9, 10)).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op8_exact_dedup, op9_ngram_jaccard)}
+#: Rules of op3 and URLs listed one by one.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
+LISTED_URLS = ["https://ththhe.example.com/es/30669", "http://www.therth.example.org/fr/8515/", "http://spam.example.org/fr/offers", "https://blog.ththth.example.org/fr/35999/"]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES, spark.createDataFrame([(u,) for u in LISTED_URLS], "url string"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.quality import judged
+
+    return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.sharding import assign
+
+    return assign(table(spark, sf_dir, "documents"), 40)
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_url_filter, op5_packing, op6_quality_rules, op7_sharding, op8_exact_dedup, op9_ngram_jaccard, op10_license_scan)}
 
 OP8_SQL = r"""
 WITH d AS (
