@@ -36,6 +36,24 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), n=3, threshold=Fraction(9, 10)).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from sievework.llm.byte_bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.common import fold_of, text_bytes
+    from sievework.llm.language_id import learn, predict
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs.where(fold_of("doc_id", 3) != 1), tokenizer("piece_bpe_32k.model"))
+    found = predict(docs.select("doc_id", text_bytes()), model)
+    return found.select(F.col("row").alias("doc_id"), (fold_of("row", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 #: Rules of op3 and URLs listed one by one.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
 LISTED_URLS = ["https://ththhe.example.com/es/30669", "http://www.therth.example.org/fr/8515/", "http://spam.example.org/fr/offers", "https://blog.ththth.example.org/fr/35999/"]
@@ -65,7 +83,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op5_packing, op6_quality_rules, op7_sharding, op8_exact_dedup, op9_ngram_jaccard, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_language_id, op3_url_filter, op5_packing, op6_quality_rules, op7_sharding, op8_exact_dedup, op9_ngram_jaccard, op10_license_scan)}
 
 OP8_SQL = r"""
 WITH d AS (
