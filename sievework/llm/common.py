@@ -7,11 +7,13 @@ unset, as in tests.
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +82,15 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
                 spark.conf.set(k.replace("__", "."), v)
 
 
+def send(spark: SparkSession, value):
+    """A broadcast of an object together with the code of its class, for workers without this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared):
+    return pickle.loads(shared.value)
+
+
 def text_bytes(col: str = "text") -> Column:
     """The text as UTF-8 bytes; null is empty."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")

@@ -19,8 +19,9 @@ from itertools import count
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sievework.llm.common import text_bytes
+from sievework.llm.common import fold_of, received, send, text_bytes
 
 #: Labelled documents per language that the model is fitted on, and words of them that are used (the most frequent).
 SAMPLE, WORDS = 200, 40_000
@@ -147,7 +148,7 @@ def predict_rows(model):
         import pyarrow as pa
         import regex
 
-        languages, probabilities, pieces = model.value if hasattr(model, "value") else model
+        languages, probabilities, pieces = received(model)
         number = {p: i for i, p in enumerate(pieces) if i}
         letter = regex.compile(r"\p{L}")
         index: dict = {}
@@ -185,6 +186,13 @@ def predict_rows(model):
 
 def predict(rows: DataFrame, model) -> DataFrame:
     """(row, lang_pred, score) for a table of (row, text as bytes); ``row`` is any column carried along."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    kind = rows.schema[0].dataType.simpleString()
-    return rows.toDF("row", "t").mapInArrow(predict_rows(shared), f"row {kind}, lang_pred string, score double")
+    shared = send(rows.sparkSession, model)
+    out = T.StructType([T.StructField("row", rows.schema[0].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.toDF("row", "t").mapInArrow(predict_rows(shared), out)
+
+
+def in_known_language(docs: DataFrame, vocabulary_path: str, fold: int = 3, held: int = 1) -> DataFrame:
+    """docs without those in no learned language; the columns stay as they are. Held-out documents are not learned from."""
+    model = learn(docs.where(fold_of("doc_id", fold) != held), vocabulary_path)
+    found = predict(docs.select(F.struct(*docs.columns), text_bytes()), model)
+    return found.where("lang_pred <> 'und'").select("row.*")

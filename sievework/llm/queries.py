@@ -36,6 +36,12 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), n=3, threshold=Fraction(9, 10)).select("doc_id", "n_shingles", "component_id")
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.context_mixing import scores
+
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,7 +89,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_language_id, op3_url_filter, op5_packing, op6_quality_rules, op7_sharding, op8_exact_dedup, op9_ngram_jaccard, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_context_mixing, op2_byte_bpe, op4_language_id, op3_url_filter, op5_packing, op6_quality_rules, op7_sharding, op8_exact_dedup, op9_ngram_jaccard, op10_license_scan)}
 
 OP8_SQL = r"""
 WITH d AS (
