@@ -27,6 +27,7 @@ STATE = {
     "spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled": "true",
     "spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage": "true",
     "spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB": "200",
+    "spark__sql__streaming__stateStore__rocksdb__allowFAllocate": "false",
     "spark__sql__streaming__noDataMicroBatches__enabled": "false",
 }
 
