@@ -1,14 +1,471 @@
-"""Queries over the driver's tables and their SQL twins."""
+"""Queries over the driver's tables, by operator, and their SQL twins."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sievework.api import Extractor
+from sievework.functions import constraints as k
+from sievework.functions import math as m
+from sievework.functions import text as t
+from sievework.operators import candidates, chunking, spans
+from sievework.operators.scorers import Lexical
+from sievework.plans import prompts
+from sievework.schema import AttributeGroup, RegexValidator, SchemaBuilder
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+#: The token pattern and the word pattern, spelled for the SQL twin's engine.
+_SQL_TOKEN = r"(?:https?://[^\s\x{85}\p{Z}]+|www\.[^\s\x{85}\p{Z}]+)|[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}|@[a-z0-9_]+|[\p{L}\p{M}\p{Nd}\p{Pc}]+(?:[-_][\p{L}\p{M}\p{Nd}\p{Pc}]+)*|[^\s\x{85}\p{Z}]"
+_SQL_WORD = r"[^\s\x{85}\p{Z}]+"
+_TOKS = f"regexp_extract_all(lower(text), '{_SQL_TOKEN}')"
+_WORDS = f"regexp_extract_all(text, '{_SQL_WORD}')"
+_TOKEN_ROWS = f"tok AS (SELECT doc_id, unnest({_TOKS}) AS tok, generate_subscripts({_TOKS}, 1) - 1 AS i FROM documents)"
+
+
+def query(sql: str | None = None):
+    """Registers a function as a query, with its SQL twin if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.tokens(F.col("text"))).alias("i", "tok"))
+
+
+SCORER = Lexical(
+    entities=(("email", t.EMAIL, 4.0), ("number", "[0-9]+", 2.0), ("capitalised", r"[A-Z][a-z]+(?: [A-Z][a-z]+)*", 1.0)),
+    keywords=(("language", "en", "the", 1.0), ("language", "de", "der", 1.0), ("language", "fr", "le", 1.0), ("language", "es", "que", 1.0), ("place", "front", "the", 2.0), ("place", "back", "de", 2.0)),
+    width=2,
+)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.length("text").alias("n"))
+    """Entities of three types with confidences and offsets, end to end."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return Extractor(SCORER).extract_entities(docs, ["email", "number", "capitalised"], include_confidence=True, include_spans=True).drop("text")
 
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+# --- text -----------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, len({_TOKS})::INT AS n_tokens, md5(array_to_string({_TOKS}, ' ')) AS joined FROM documents")
+def s1_tokens(spark, sf_dir):
+    toks = t.tokens(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", toks.alias("x")).select("doc_id", F.size("x").alias("n_tokens"), F.md5(F.array_join("x", " ")).alias("joined"))
+
+
+@query(f"SELECT doc_id, len({_TOKS})::INT AS n_tokens, list_sum(list_transform({_TOKS}, lambda x: length(x)))::BIGINT AS covered, 0::BIGINT AS wrong FROM documents")
+def s2_token_offsets(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"), t.token_offsets(F.col("text")).alias("x"))
+    wrong = F.size(F.filter("x", lambda s: t.span_text(F.col("low"), s["start"], s["end"]) != s["tok"]))
+    covered = F.aggregate("x", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return rows.select("doc_id", F.size("x").alias("n_tokens"), covered.alias("covered"), wrong.cast("long").alias("wrong"))
+
+
+@query(f"SELECT doc_id, len({_WORDS})::INT AS n_words FROM documents")
+def s12_word_count(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", t.word_count(F.col("text")).alias("n_words"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN text = '' THEN '.' WHEN right(text, 1) IN ('.', '!', '?') THEN text ELSE text || '.' END) AS ended FROM documents")
+def s9_punctuated(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(t.punctuated(F.col("text"))).alias("ended"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_slice({_TOKS}, 1, 16), ' ') AS head FROM documents")
+def s10_truncated(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(t.tokens(F.col("text"), max_len=16), " ").alias("head"))
+
+
+@query(rf"""WITH w AS (SELECT DISTINCT unnest({_TOKS}) AS tok FROM documents), b AS (SELECT tok, hex(encode(tok)) AS h FROM w)
+SELECT tok, (list_reduce(list_prepend(0::HUGEINT, list_transform(range(1, length(h) // 2 + 1), lambda i: ('0x' || substr(h, (2 * i - 1)::INT, 2))::INT::HUGEINT)),
+  lambda a, x: (a * 31 + x) % 18446744073709551616::HUGEINT) % 30522)::INT AS id FROM b""")
+def s19_fallback_ids(spark, sf_dir):
+    return token_rows(spark, sf_dir).select("tok").distinct().select("tok", t.fallback_token_id(F.col("tok")).alias("id"))
+
+
+@query(r"""SELECT page_id, coalesce(regexp_extract(url, 'https?://[a-z.]+/en/[0-9]+') = url, false) AS whole, regexp_matches(url, '[?]page=[0-9]+') AS part, NOT regexp_matches(url, '#') AS plain FROM pages""")
+def s22_validators(spark, sf_dir):
+    u = F.col("url")
+    return read(spark, sf_dir, "pages").select("page_id", t.regex_valid(u, "https?://[a-z.]+/en/[0-9]+").alias("whole"), t.regex_valid(u, "[?]page=[0-9]+", full=False).alias("part"), t.regex_valid(u, "#", full=False, exclude=True).alias("plain"))
+
+
+@query(r"""WITH x AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages)
+SELECT page_id, md5(text) AS text_md5, length(text)::INT AS n FROM x""")
+def s1_page_text(spark, sf_dir):
+    text = t.strip_tags(F.col("html"))
+    return read(spark, sf_dir, "pages").select("page_id", text.alias("x")).select("page_id", F.md5("x").alias("text_md5"), F.length("x").alias("n"))
+
+
+# --- chunks ---------------------------------------------------------------------------------------------
+
+
+_WINDOWS = f"""w AS (SELECT doc_id, text, {_WORDS} AS words FROM documents), n AS (SELECT doc_id, words, len(words) AS n FROM w),
+c AS (SELECT doc_id, words, n, unnest(range(0, greatest(ceil((n - 384) / 320.0), 0)::BIGINT + 1)) AS idx FROM n)"""
+
+
+@query(f"WITH {_WINDOWS} SELECT doc_id, idx::INT AS idx, (idx * 320)::INT AS start_word, least(idx * 320 + 384, n)::INT AS end_word FROM c")
+def c1_windows(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", t.word_count(F.col("text")).alias("n"))
+    return docs.select("doc_id", F.inline(chunking.windows(F.col("n"))))
+
+
+@query(f"WITH {_WINDOWS} SELECT doc_id, idx::INT AS idx, md5(array_to_string(list_slice(words, idx * 320 + 1, idx * 320 + 384), ' ')) AS words_md5 FROM c")
+def c6_chunk_texts(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(chunking.chunks()(F.col("text"))).alias("c"))
+    return rows.select("doc_id", F.col("c.idx").alias("idx"), F.md5(F.array_join(t.whitespace_tokens(F.col("c.text")), " ")).alias("words_md5"))
+
+
+@query(f"""WITH {_WINDOWS}, s AS (SELECT doc_id, idx, unnest(['the', 'der', 'le', 'que']) AS word, unnest(['en', 'de', 'fr', 'es']) AS label, list_slice(words, idx * 320 + 1, idx * 320 + 384) AS own FROM c),
+r AS (SELECT doc_id, idx, label, len(list_filter(own, lambda x: x = word)) / greatest(len(own), 1) AS confidence FROM s),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, idx ORDER BY confidence DESC, label) AS rn FROM r),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, idx DESC) AS last FROM b WHERE rn = 1)
+SELECT doc_id, label, round(confidence, 6) AS confidence FROM l WHERE last = 1""")
+def a10_merged_classification(spark, sf_dir):
+    """Each window's likeliest label, then the most confident window's, the last of equal ones."""
+    words = F.col("words")
+    docs = read(spark, sf_dir, "documents").select("doc_id", t.whitespace_tokens(F.col("text")).alias("words"))
+    cut = docs.select("doc_id", F.transform(chunking.windows(F.size(words)), lambda c: F.slice(words, c["start_word"] + 1, c["end_word"] - c["start_word"])).alias("parts"))
+    share = lambda own, w: F.size(F.filter(own, lambda x: x == w)) / F.greatest(F.size(own), F.lit(1))
+    best = lambda own: F.array_min(F.array(*[F.struct((-share(own, w)).alias("c"), F.lit(label).alias("label")) for w, label in (("the", "en"), ("der", "de"), ("le", "fr"), ("que", "es"))]))
+    each = cut.select("doc_id", F.transform("parts", lambda own: best(own)).alias("b"))
+    merged = each.select("doc_id", chunking.best_label(F.transform("b", lambda b: F.struct(b["label"].alias("label"), (-b["c"]).alias("confidence")))).alias("v"))
+    return merged.select("doc_id", "v.label", F.round(F.col("v.confidence"), 6).alias("confidence"))
+
+
+# --- spans ----------------------------------------------------------------------------------------------
+
+_SPANS = "sp AS (SELECT doc_id, k AS i, ((doc_id * 7 + k * 5) % 23)::INT AS a, ((doc_id * 7 + k * 5) % 23 + 1 + (doc_id + k * 3) % 6)::INT AS b, ((doc_id * 7919 + k * 104729) % 9973) / 10000.0::DOUBLE AS s FROM documents, range(10) r(k))"
+
+
+def span_arrays(spark, sf_dir):
+    d = F.col("doc_id")
+    one = lambda k: F.struct(((d * 7 + k * 5) % 23).cast("int").alias("start"), ((d * 7 + k * 5) % 23 + 1 + (d + k * 3) % 6).cast("int").alias("end"), (((d * 7919 + k * 104729) % 9973) / 10000.0).cast("double").alias("score"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(9)), one).alias("spans"))
+
+
+def _spans_out(df, column):
+    return df.select("doc_id", F.inline(column)).select("doc_id", "start", "end", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH RECURSIVE {_SPANS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, i) AS r FROM sp),
+g AS (SELECT doc_id, 0::BIGINT AS r, []::STRUCT(a INT, b INT, s DOUBLE)[] AS kept FROM (SELECT DISTINCT doc_id FROM sp)
+ UNION ALL SELECT g.doc_id, o.r, CASE WHEN len(list_filter(kept, lambda x: x.a < o.b AND o.a < x.b)) > 0 THEN kept ELSE list_append(kept, {{'a': o.a, 'b': o.b, 's': o.s}}) END FROM g JOIN o ON o.doc_id = g.doc_id AND o.r = g.r + 1),
+u AS (SELECT doc_id, unnest(kept) AS x FROM g WHERE r = 10) SELECT doc_id, x.a AS start, x.b AS "end", round(x.s, 6) AS score FROM u""")
+def o1_greedy(spark, sf_dir):
+    return _spans_out(span_arrays(spark, sf_dir), spans.greedy(F.col("spans")))
+
+
+_BEST = f"""{_SPANS}, q AS (SELECT DISTINCT doc_id, first_value(i) OVER (PARTITION BY doc_id, a, b ORDER BY s DESC, i) AS i FROM sp), u AS (SELECT sp.* FROM sp JOIN q USING (doc_id, i)),
+subsets AS (SELECT doc_id, mk, sum(s) AS total, count(*) AS n FROM u, range(1, 1024) r(mk) WHERE (mk >> i::INT) & 1 = 1 GROUP BY ALL),
+full_ AS (SELECT * FROM subsets WHERE n = bit_count(mk)),
+bad AS (SELECT DISTINCT f.doc_id, f.mk FROM full_ f JOIN u x ON x.doc_id = f.doc_id AND (f.mk >> x.i::INT) & 1 = 1 JOIN u y ON y.doc_id = f.doc_id AND (f.mk >> y.i::INT) & 1 = 1 AND y.i > x.i AND x.a < y.b AND y.a < x.b),
+ok AS (SELECT * FROM full_ f WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.doc_id = f.doc_id AND bad.mk = f.mk))"""
+
+
+@query(f"WITH {_BEST} SELECT doc_id, round(max(total), 6) AS total FROM ok GROUP BY doc_id")
+def o2_flat(spark, sf_dir):
+    out = span_arrays(spark, sf_dir).select("doc_id", spans.resolve_flat(F.col("spans")).alias("x"))
+    return out.select("doc_id", F.round(F.aggregate("x", F.lit(0.0), lambda a, s: a + s["score"]), 6).alias("total"))
+
+
+@query(f"WITH {_BEST} SELECT doc_id, round(max(total), 4) AS total FROM ok GROUP BY doc_id")
+def o3_highest_confidence(spark, sf_dir):
+    out = span_arrays(spark, sf_dir).select("doc_id", spans.resolve_most_confident(F.col("spans")).alias("x"))
+    return out.select("doc_id", F.round(F.aggregate("x", F.lit(0.0), lambda a, s: a + s["score"]), 4).alias("total"))
+
+
+@query(f"""WITH {_SPANS}, q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, a, b ORDER BY s DESC, i) AS r FROM sp), u AS (SELECT * FROM q WHERE r = 1)
+SELECT doc_id, a AS start, b AS "end", round(s, 6) AS score FROM u x WHERE NOT EXISTS (SELECT 1 FROM u y WHERE y.doc_id = x.doc_id AND y.a <= x.a AND x.b <= y.b AND (y.a <> x.a OR y.b <> x.b))""")
+def o4_longest(spark, sf_dir):
+    return _spans_out(span_arrays(spark, sf_dir), spans.POLICIES["longest"](F.col("spans")))
+
+
+@query(f"""WITH {_SPANS}, q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, a, b ORDER BY s DESC, i) AS r FROM sp) SELECT doc_id, a AS start, b AS "end", round(s, 6) AS score FROM q WHERE r = 1""")
+def o5_dedupe(spark, sf_dir):
+    return _spans_out(span_arrays(spark, sf_dir), spans.dedupe(F.col("spans")))
+
+
+@query(f"WITH n AS (SELECT doc_id, len({_TOKS}) AS n FROM documents) SELECT doc_id, list_sum(list_transform(range(1, 9), lambda w: greatest(n - w + 1, 0)))::BIGINT AS n_spans FROM n")
+def j8_grid(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.size(t.tokens(F.col("text"))).alias("n"))
+    return docs.select("doc_id", F.size(candidates.grid(F.col("n"), 8)).cast("long").alias("n_spans"))
+
+
+# --- pools and scores -----------------------------------------------------------------------------------
+
+_MARGINALS = "mg AS (SELECT vec_id AS doc_id, q AS query, p AS pos, embedding[q * 16 + p + 1]::DOUBLE AS sl, embedding[q * 16 + 16 - p]::DOUBLE AS el FROM embeddings, range(4) a(q), range(16) b(p))"
+
+
+def marginals(spark, sf_dir):
+    e = F.col("embedding")
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("query")).select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("pos"))
+    return rows.select("doc_id", "query", "pos", F.get(e, F.col("query") * 16 + F.col("pos")).cast("double").alias("start_logit"), F.get(e, F.col("query") * 16 + 15 - F.col("pos")).cast("double").alias("end_logit"))
+
+
+@query(f"""WITH {_MARGINALS}, us AS (SELECT doc_id, pos, max(sl) AS us FROM mg GROUP BY ALL), ue AS (SELECT doc_id, pos, max(el) AS ue FROM mg GROUP BY ALL),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY us DESC, pos) AS sr FROM us QUALIFY sr <= 10), e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ue DESC, pos) AS er FROM ue QUALIFY er <= 10),
+p AS (SELECT s.doc_id, s.pos AS a, e.pos AS b, us + ue AS score, sr, er FROM s JOIN e ON s.doc_id = e.doc_id AND e.pos > s.pos),
+w AS (SELECT p.*, x.query, row_number() OVER (PARTITION BY p.doc_id, x.query ORDER BY x.sl + y.el DESC, sr, er) - 1 AS r FROM p JOIN mg x ON x.doc_id = p.doc_id AND x.pos = p.a JOIN mg y ON y.doc_id = p.doc_id AND y.pos = p.b AND y.query = x.query QUALIFY r < 3),
+u AS (SELECT doc_id, a, b, 5003.0 - r AS score, 0 AS k1, query AS k2, r AS k3 FROM w UNION ALL SELECT doc_id, a, b, score, 1, sr, er FROM p),
+d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, a, b ORDER BY score DESC, k1, k2, k3) AS n FROM u QUALIFY n = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k1, k2, k3) - 1 AS slot FROM d)
+SELECT doc_id, a::INT AS start, b::INT AS "end", round(score, 6) AS pool_score, slot::INT AS slot FROM o WHERE slot < 24""")
+def t1_pool(spark, sf_dir):
+    out = candidates.pool(marginals(spark, sf_dir), k=10, quota=3, cap=24)
+    return out.select("doc_id", "start", "end", F.round("pool_score", 6).alias("pool_score"), "slot")
+
+
+@query(f"""WITH {_MARGINALS}, us AS (SELECT doc_id, pos, max(sl) AS sl FROM mg GROUP BY ALL), ue AS (SELECT doc_id, pos, max(el) AS el FROM mg GROUP BY ALL)
+SELECT s.doc_id, s.pos::INT AS start, e.pos::INT AS "end", round(sl + el, 6) AS score FROM us s JOIN ue e ON s.doc_id = e.doc_id AND e.pos > s.pos""")
+def j1_pairs(spark, sf_dir):
+    mg = marginals(spark, sf_dir)
+    both = candidates.pairs(candidates.top_boundaries(mg, "start_logit", 99), candidates.top_boundaries(mg, "end_logit", 99))
+    return both.select("doc_id", "start", "end", F.round(F.col("us") + F.col("ue"), 6).alias("score"))
+
+
+@query(f"""WITH {_MARGINALS}, sp AS (SELECT a.a, b.b FROM range(16) a(a), range(1, 17) b(b) WHERE b > a AND b - a <= 4)
+SELECT doc_id, query::INT AS query, a::INT AS start, b::INT AS "end", round(sum(sl) / sqrt(b - a), 6) + 0.0 AS inside FROM mg JOIN sp ON pos >= a AND pos < b GROUP BY doc_id, query, a, b""")
+def w1_interval_scores(spark, sf_dir):
+    mg = marginals(spark, sf_dir)
+    each = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.inline(candidates.grid(F.lit(16), 4)))
+    out = candidates.interval_scores(mg.select("doc_id", "query", "pos", F.col("start_logit").alias("score")), each)
+    return out.select("doc_id", "query", "start", "end", (F.round("inside", 6) + 0.0).alias("inside"))
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+e AS (SELECT *, exp(v - max(v) OVER (PARTITION BY vec_id)) AS e FROM x), p AS (SELECT vec_id, i, e / sum(e) OVER (PARTITION BY vec_id) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS r FROM e)
+SELECT vec_id, i::INT AS label, round(p, 6) AS confidence FROM p WHERE r = 1""")
+def a2_softmax_argmax(spark, sf_dir):
+    xs = F.transform("embedding", lambda x: x.cast("double"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", m.softmax(xs).alias("p"))
+    return rows.select("vec_id", m.argmax(F.col("p")).alias("label"), F.round(F.array_max("p"), 6).alias("confidence"))
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), p AS (SELECT vec_id, i, v, 1 / (1 + exp(-v)) AS p, max(v) OVER (PARTITION BY vec_id) AS top FROM x)
+SELECT vec_id, i::INT AS label, round(p, 6) AS confidence FROM p WHERE p >= 0.56 OR v = top""")
+def f3_multi_label(spark, sf_dir):
+    v = F.col("v").cast("double")
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("label", "v"))
+    p = m.sigmoid(v)
+    top = F.max("v").over(Window.partitionBy("vec_id"))
+    return rows.withColumn("p", p).withColumn("top", top).where((F.col("p") >= 0.56) | (F.col("v") == F.col("top"))).select("vec_id", "label", F.round("p", 6).alias("confidence"))
+
+
+@query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), c AS (SELECT vec_id, v, list_transform(v, lambda a: a - list_avg(v)) AS c FROM x),
+n AS (SELECT vec_id, v, c[1] / sqrt(list_avg(list_transform(c, lambda a: a * a)) + 1e-5) AS z FROM c), t AS (SELECT *, 1 / (1 + 0.3275911 * abs(z / sqrt(2))) AS t FROM n)
+SELECT vec_id, round(z, 5) + 0.0 AS normed, round(0.5 * z * (1 + sign(z) * (1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z / 2))), 5) + 0.0 AS activated,
+ round(list_dot_product(v, v), 5) AS self, round(list_dot_product(v[1:4], [0.5, -1.0, 2.0, 0.25]::DOUBLE[]) + 0.125, 5) + 0.0 AS lin, round(ln(1 + 3.0), 6) AS len1 FROM t""")
+def n_math(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    z = F.get("n", F.lit(0))
+    rows = rows.withColumn("n", m.layernorm(F.col("v")))
+    lin = F.get(m.linear(F.slice("v", 1, 4), [[0.5, -1.0, 2.0, 0.25]], [0.125]), F.lit(0))
+    return rows.select("vec_id", (F.round(z, 5) + 0.0).alias("normed"), (F.round(m.gelu(z), 5) + 0.0).alias("activated"), F.round(m.dot(F.col("v"), F.col("v")), 5).alias("self"), (F.round(lin, 5) + 0.0).alias("lin"), F.round(F.get(m.length_features(F.lit(3.0), F.lit(9.0)), F.lit(0)), 6).alias("len1"))
+
+
+@query("""WITH p AS (SELECT * FROM (VALUES (1,2,3),(1,3,2),(2,1,3),(2,3,1),(3,1,2),(3,2,1)) p(a, b, c))
+SELECT vec_id, round(min(embedding[a]::DOUBLE + embedding[3 + b]::DOUBLE + embedding[6 + c]::DOUBLE), 5) + 0.0 AS total FROM embeddings, p GROUP BY vec_id""")
+def e11_assignment(spark, sf_dir):
+    @F.pandas_udf("double")
+    def cheapest(vectors: pd.Series) -> pd.Series:
+        def one(v):
+            cost = [[float(x) for x in v[3 * i : 3 * i + 3]] for i in range(3)]
+            return sum(cost[i][j] for i, j in enumerate(spans.assignment(cost)))
+
+        return vectors.map(one)
+
+    return read(spark, sf_dir, "embeddings").select("vec_id", (F.round(cheapest("embedding"), 5) + 0.0).alias("total"))
+
+
+# --- decoders -------------------------------------------------------------------------------------------
+
+_SHAPES = r"CASE WHEN regexp_full_match(tok, '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}') THEN 'email' WHEN regexp_full_match(tok, '[0-9]+') THEN 'number' END"
+
+
+def shapes(spark, sf_dir):
+    kind = F.when(t.regex_valid(F.col("tok"), t.EMAIL), "email").when(t.regex_valid(F.col("tok"), "[0-9]+"), "number")
+    return token_rows(spark, sf_dir).withColumn("type", kind).where("type IS NOT NULL")
+
+
+@query(f"""WITH {_TOKEN_ROWS}, h AS (SELECT doc_id, i, tok, {_SHAPES} AS type FROM tok)
+SELECT doc_id, type, i::INT AS token, tok, round(1 / (1 + exp(-(CASE type WHEN 'email' THEN 4.0 ELSE 2.0 END))), 6) AS confidence FROM h WHERE type IS NOT NULL""")
+def e1_shape_entities(spark, sf_dir):
+    p = m.sigmoid(F.when(F.col("type") == "email", 4.0).otherwise(2.0))
+    return shapes(spark, sf_dir).select("doc_id", "type", F.col("i").alias("token"), "tok", F.round(p, 6).alias("confidence")).where("confidence >= 0.5")
+
+
+@query(f"""WITH {_TOKEN_ROWS}, h AS (SELECT doc_id, {_SHAPES} AS type FROM tok), q AS (SELECT doc_id, unnest(['email', 'number', 'url']) AS type FROM documents)
+SELECT q.doc_id, q.type, count(h.type) AS n FROM q LEFT JOIN h ON h.doc_id = q.doc_id AND h.type = q.type GROUP BY ALL""")
+def f9_declared_but_empty(spark, sf_dir):
+    asked = spark.createDataFrame([("email",), ("number",), ("url",)], "type string")
+    hits = shapes(spark, sf_dir).groupBy("doc_id", "type").agg(F.count("*").alias("n"))
+    whole = read(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(asked))
+    return whole.join(hits, ["doc_id", "type"], "left").select("doc_id", "type", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"""WITH {_TOKEN_ROWS}, h AS (SELECT doc_id, i, {_SHAPES} AS type FROM tok),
+p AS (SELECT a.doc_id, a.i AS head, b.i AS tail, 1 / (1 + exp(-(2.0 - 0.01 * greatest(greatest(a.i, b.i) - least(a.i, b.i) - 1, 0)))) AS p FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.type = 'email' AND b.type = 'number' AND a.i <> b.i)
+SELECT doc_id, head::INT AS head, tail::INT AS tail, round(p, 6) AS confidence, (row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, head, tail))::INT AS ord FROM p WHERE p >= 0.5""")
+def e6_relations(spark, sf_dir):
+    """Pairs of unlike spans of the two types, scored by distance, likeliest first."""
+    h = shapes(spark, sf_dir)
+    heads = h.where("type = 'email'").select("doc_id", F.col("i").alias("head"))
+    tails = h.where("type = 'number'").select("doc_id", F.col("i").alias("tail"))
+    gap = F.greatest(F.greatest("head", "tail") - F.least("head", "tail") - 1, F.lit(0))
+    pairs = heads.join(tails, "doc_id").where("head <> tail").withColumn("p", m.sigmoid(2.0 - 0.01 * gap)).where("p >= 0.5")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("p"), "head", "tail"))
+    return pairs.select("doc_id", "head", "tail", F.round("p", 6).alias("confidence"), order.alias("ord"))
+
+
+_KEYS = "kw(label, ord, word) AS (VALUES ('en', 0, 'the'), ('de', 1, 'der'), ('fr', 2, 'le'), ('es', 3, 'que'))"
+
+
+@query(f"""WITH {_TOKEN_ROWS}, {_KEYS}, c AS (SELECT d.doc_id, kw.label, kw.ord, -1.0 + 0.1 * (SELECT count(*) FROM tok WHERE tok.doc_id = d.doc_id AND tok.tok = kw.word) AS z FROM documents d, kw),
+e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY doc_id)) AS e FROM c), p AS (SELECT doc_id, label, e / sum(e) OVER (PARTITION BY doc_id) AS p, row_number() OVER (PARTITION BY doc_id ORDER BY z DESC, ord DESC) AS r FROM e)
+SELECT doc_id, label, round(p, 6) AS confidence FROM p WHERE r = 1""")
+def e4_classification(spark, sf_dir):
+    """Labels by keyword counts; the last of equally likely ones."""
+    toks = F.col("toks")
+    words = (("en", "the"), ("de", "der"), ("fr", "le"), ("es", "que"))
+    logits = F.array(*[F.lit(-1.0) + 0.1 * F.size(F.filter(toks, lambda x, w=w: x == w)) for _, w in words])
+    rows = read(spark, sf_dir, "documents").select("doc_id", t.tokens(F.col("text")).alias("toks")).select("doc_id", logits.alias("z"))
+    rows = rows.select("doc_id", F.arrays_zip(F.col("z"), m.softmax(F.col("z")).alias("p"), F.array(*[F.lit(x) for x, _ in words]).alias("label"), F.sequence(F.lit(0), F.lit(3)).alias("ord")).alias("x"))
+    best = F.array_max(F.transform("x", lambda x: F.struct(x["z"].alias("z"), x["ord"].alias("o"), x["p"].alias("p"), x["label"].alias("label"))))
+    return rows.select("doc_id", best.alias("b")).select("doc_id", "b.label", F.round("b.p", 6).alias("confidence"))
+
+
+@query(f"""WITH {_TOKEN_ROWS}, h AS (SELECT doc_id, i, tok, {_SHAPES} AS type FROM tok)
+SELECT doc_id, array_to_string(list(tok ORDER BY i) FILTER (type = 'email'), ' ') AS contact, array_to_string(list(tok ORDER BY i) FILTER (type = 'number'), ' ') AS amounts FROM h WHERE type IS NOT NULL GROUP BY doc_id""")
+def e8_records(spark, sf_dir):
+    """One record of two list fields a document, without empty ones."""
+    pick = lambda pattern: F.filter("toks", lambda x: t.regex_valid(x, pattern))
+    rows = read(spark, sf_dir, "documents").select("doc_id", t.tokens(F.col("text")).alias("toks")).select("doc_id", pick(t.EMAIL).alias("contact"), pick("[0-9]+").alias("amounts"))
+    shown = lambda c: F.when(F.size(c) > 0, F.array_join(c, " "))
+    return rows.where((F.size("contact") > 0) | (F.size("amounts") > 0)).select("doc_id", shown(F.col("contact")).alias("contact"), shown(F.col("amounts")).alias("amounts"))
+
+
+@query(f"""WITH {_TOKEN_ROWS}, h AS (SELECT doc_id, i, {_SHAPES} AS type FROM tok WHERE {_SHAPES} IS NOT NULL),
+c AS (SELECT h.doc_id, h.i, h.type, -1.0 + count(t.tok) FILTER (t.tok IN ('the', 'of')) AS front, -1.0 + count(t.tok) FILTER (t.tok IN ('de', 'der')) AS back FROM h LEFT JOIN tok t ON t.doc_id = h.doc_id AND t.i BETWEEN h.i - 5 AND h.i + 5 GROUP BY ALL)
+SELECT doc_id, i::INT AS token, type, CASE WHEN back >= front THEN 'back' ELSE 'front' END AS label, round(1 / (1 + exp(-abs(front - back))), 6) AS confidence FROM c WHERE type = 'number'""")
+def e12_attributes(spark, sf_dir):
+    """One of two labels for each number, by the words around it; emails are not of the group's types."""
+    toks = F.col("toks")
+    rows = read(spark, sf_dir, "documents").select("doc_id", t.tokens(F.col("text")).alias("toks"))
+    spans_ = rows.select("doc_id", "toks", F.posexplode("toks").alias("token", "tok")).where(t.regex_valid(F.col("tok"), "[0-9]+"))
+    low = F.greatest(F.col("token") - 5, F.lit(0))
+    near = F.slice(toks, low + 1, F.col("token") + 6 - low)
+    logit = lambda *w: F.lit(-1.0) + F.size(F.filter("near", lambda x: x.isin(*w)))
+    out = spans_.select("doc_id", "token", near.alias("near")).select("doc_id", "token", logit("the", "of").alias("front"), logit("de", "der").alias("back"))
+    return out.select("doc_id", "token", F.lit("number").alias("type"), F.when(F.col("back") >= F.col("front"), "back").otherwise("front").alias("label"), F.round(m.sigmoid(F.abs(F.col("front") - F.col("back"))), 6).alias("confidence"))
+
+
+@query("""SELECT doc_id, CASE WHEN quality = 1 THEN true WHEN toxic = 1 THEN NULL ELSE false END AS good,
+ CASE WHEN quality = 1 AND toxic = 1 THEN false WHEN quality = 0 AND toxic = 0 THEN true WHEN toxic = 0 THEN true ELSE CASE WHEN quality = 1 THEN false ELSE NULL END END AS clean,
+ CASE WHEN quality = 1 THEN true WHEN toxic = 1 THEN NULL ELSE false END AS some FROM labels""")
+def k1_kleene(spark, sf_dir):
+    """Selected, undecided and impossible labels: the label, an exclusion with it, and a cardinality."""
+    q, x = F.col("quality") == 1, F.col("toxic") == 1
+    none = F.array().cast("array<string>")
+    state = k.Columns(
+        {"q": ["good"], "t": ["bad"]},
+        {"q": F.when(q, F.array(F.lit("good"))).otherwise(none), "t": F.when(x, F.array(F.lit("bad"))).otherwise(none)},
+        {"q": q | ~x, "t": F.lit(True)},
+        {"q": F.array(F.lit("good")), "t": F.array(F.lit("bad"))},
+    )
+    good, bad = k.label("q", "good"), k.label("t", "bad")
+    return read(spark, sf_dir, "labels").select("doc_id", good.column(state).alias("good"), k.excludes(good, bad).column(state).alias("clean"), k.any_selected("q").column(state).alias("some"))
+
+
+@query("""WITH o AS (SELECT doc_id, a.q, b.t, (CASE WHEN a.q = 'good' THEN 0.2 + 0.5 * quality + doc_id % 7 * 0.01 ELSE 0.4 END) + (CASE WHEN b.t = 'bad' THEN 0.1 + 0.6 * toxic ELSE 0.3 END) AS s
+ FROM labels, (VALUES ('good'), ('poor')) a(q), (VALUES ('bad'), ('fine')) b(t) WHERE NOT (a.q = 'good' AND b.t = 'bad'))
+SELECT doc_id, arg_max(q, s) AS q, arg_max(t, s) AS t, round(max(s), 6) AS score FROM o GROUP BY doc_id""")
+def k9_constrained_decode(spark, sf_dir):
+    """The best pair of labels under an exclusion, by the exact decoder."""
+    rule = k.excludes(k.label("q", "good"), k.label("t", "bad"))
+
+    @F.pandas_udf("struct<q:string,t:string,score:double>")
+    def decoded(ids: pd.Series, quality: pd.Series, toxic: pd.Series) -> pd.DataFrame:
+        out = []
+        for i, a, b in zip(ids, quality, toxic):
+            options = {"q": [(frozenset({"good"}), 0.2 + 0.5 * a + i % 7 * 0.01), (frozenset({"poor"}), 0.4)], "t": [(frozenset({"bad"}), 0.1 + 0.6 * b), (frozenset({"fine"}), 0.3)]}
+            s = k.decode(options, [rule], {"q": ["good", "poor"], "t": ["bad", "fine"]})
+            out.append((*s.choice["q"], *s.choice["t"], s.score))
+        return pd.DataFrame(out, columns=["q", "t", "score"])
+
+    rows = read(spark, sf_dir, "labels").select("doc_id", decoded("doc_id", "quality", "toxic").alias("x"))
+    return rows.select("doc_id", "x.q", "x.t", F.round("x.score", 6).alias("score"))
+
+
+@query("""WITH x AS (SELECT *, lower(trim(text)) AS key, length(text) % 11 AS conf, row_number() OVER (PARTITION BY role, lower(trim(text)) ORDER BY conv_id, turn) AS pos FROM conversations)
+SELECT role, key, max(conf)::INT AS confidence, arg_min(conv_id, (-conf, pos)) AS conv_id, count(*) AS n FROM x GROUP BY role, key""")
+def d3_canonical_dedupe(spark, sf_dir):
+    """Items with one canonical key: the first, replaced only by a more confident one."""
+    rows = read(spark, sf_dir, "conversations").select("role", F.lower(F.trim("text")).alias("key"), (F.length("text") % 11).alias("c"), "conv_id", "turn")
+    best = F.min_by("conv_id", F.struct(-F.col("c"), "conv_id", "turn"))
+    return rows.groupBy("role", "key").agg(F.max("c").alias("confidence"), best.alias("conv_id"), F.count("*").alias("n"))
+
+
+@query(f"SELECT quality, toxic, count(*) AS n, round(avg(len({_TOKS})), 6) AS mean_tokens FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
+def j7_label_report(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.size(t.tokens(F.col("text"))).alias("n_tokens"))
+    return docs.join(read(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.round(F.avg("n_tokens"), 6).alias("mean_tokens"))
+
+
+def demo_schema():
+    fields = SchemaBuilder().entities({"email": "an address", "number": ""}).classification("language", ["en", "de", "fr", "es"], prompt="which tongue", multi_label=False)
+    fields = fields.structure("contact", "natural", "email").field("email", dtype="str").field("number", dtype="str", validators=[RegexValidator("[0-9]{2,}")]).done()
+    return fields.relation("reaches", fields=("email", "number")).attributes({"place": AttributeGroup(("front", "back"), applies_to=("number",))}).build()
+
+
+@query("""SELECT * FROM (VALUES (0, 'entities', 'entities', 0, 'email', 0, false), (0, 'entities', 'entities', 1, 'number', 1, false), (0, 'entities', 'entities', 2, 'back', 2, true), (0, 'entities', 'entities', 3, 'front', 3, true),
+ (1, 'classifications', 'language', 4, 'en', 0, false), (1, 'classifications', 'language', 5, 'de', 1, false), (1, 'classifications', 'language', 6, 'fr', 2, false), (1, 'classifications', 'language', 7, 'es', 3, false),
+ (2, 'json_structures', 'contact', 8, 'email', 0, false), (2, 'json_structures', 'contact', 9, 'number', 1, false), (3, 'relations', 'reaches', 10, 'email', 0, false), (3, 'relations', 'reaches', 11, 'number', 1, false))
+ q(group_id, task_type, task, query_id, name, slot, hidden)""")
+def s17_query_rows(spark, sf_dir):
+    return spark.createDataFrame(prompts.query_rows(demo_schema().expanded()), prompts.QUERY_SCHEMA)
+
+
+@query(f"""WITH {_TOKEN_ROWS}, h AS (SELECT doc_id, {_SHAPES} AS type FROM tok) SELECT doc_id, count(*) FILTER (type = 'email') AS emails, count(*) FILTER (type = 'number') AS numbers FROM h GROUP BY doc_id""")
+def p4_extract_entities(spark, sf_dir):
+    """The public call, span path, counted."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = Extractor(Lexical(entities=SCORER.entities[:2], width=1), path="span").extract_entities(docs, ["email", "number"], include_spans=True)
+    return out.select("doc_id", F.size("result.entities.email").cast("long").alias("emails"), F.size("result.entities.number").cast("long").alias("numbers"))
+
+
+@query()
+def e15_all_tasks(spark, sf_dir):
+    """Every kind of task in one call, long texts in windows, as JSON."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = Extractor(SCORER).extract(docs, demo_schema(), include_confidence=True, include_spans=True)
+    return out.select("doc_id", F.to_json("result").alias("result"))
+
+
+@query(ORACLES["s1_tokens"])
+def x_streaming_tokens(spark, sf_dir):
+    """The token plan over a stream of the documents file, written and read again."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
+    at = f"{base}/tokens-{uuid.uuid4().hex}"
+    kind = read(spark, sf_dir, "documents").schema
+    stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/documents*.parquet")
+    toks = stream.select("doc_id", t.tokens(F.col("text")).alias("x")).select("doc_id", F.size("x").alias("n_tokens"), F.md5(F.array_join("x", " ")).alias("joined"))
+    toks.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
+    return spark.read.parquet(f"{at}/rows")
