@@ -96,6 +96,13 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches of at most so many rows: what a worker holds at once does not follow Spark's batch size."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def fold_of(id_col: str, mod: int) -> Column:
     """crc32 of the id written as text, modulo mod."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))

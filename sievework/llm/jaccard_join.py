@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import components, cut, perhaps_in, scratch, text_bytes
+from sievework.llm.common import components, cut, perhaps_in, scratch, slices, text_bytes
 
 #: Sets that one task compares with each other hold at most two blocks.
 BLOCK = 2048
@@ -146,7 +146,7 @@ def set_rows(n: int, threshold: Fraction, lower: bool):
                 return h
 
         known = Hashes()
-        for batch in batches:
+        for batch in slices(batches):
             if len(known) > REMEMBERED:
                 known = Hashes()
             ns, digests, keys, grams = [], [], [], []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.common import fold_of, received, send, text_bytes
+from sievework.llm.common import fold_of, received, send, slices, text_bytes
 
 #: Labelled documents per language that the model is fitted on, and words of them that are used (the most frequent).
 SAMPLE, WORDS = 200, 40_000
@@ -152,7 +152,7 @@ def predict_rows(model):
         number = {p: i for i, p in enumerate(pieces) if i}
         letter = regex.compile(r"\p{L}")
         index: dict = {}
-        for batch in batches:
+        for batch in slices(batches):
             if not index or len(index) > REMEMBERED:
                 index, known, logs = defaultdict(count().__next__), 0, np.zeros((0, len(languages)))
             codes, lettered = [], []

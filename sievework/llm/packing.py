@@ -20,7 +20,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import cut, text_bytes
+from sievework.llm.common import cut, slices, text_bytes
 
 WINDOW = 2048
 #: Pieces a packing group holds, about; a group is one task's work.
@@ -82,7 +82,7 @@ def piece_rows(path: str, window: int, end_id: int):
         tok = Tokenizer.from_file(path)
         index: dict = {}
         row = 0
-        for batch in batches:
+        for batch in slices(batches):
             if len(index) > REMEMBERED or not index:
                 index = defaultdict(count().__next__)
                 index[b"\n"]  # no word has white space: stands for the end id
