@@ -345,7 +345,8 @@ def e4_classification(spark, sf_dir):
     """Labels by keyword counts; the last of equally likely ones."""
     toks = F.col("toks")
     words = (("en", "the"), ("de", "der"), ("fr", "le"), ("es", "que"))
-    logits = F.array(*[F.lit(-1.0) + 0.1 * F.size(F.filter(toks, lambda x, w=w: x == w)) for _, w in words])
+    times = lambda w: F.size(F.filter(toks, lambda x: x == w))
+    logits = F.array(*[F.lit(-1.0) + 0.1 * times(w) for _, w in words])
     rows = read(spark, sf_dir, "documents").select("doc_id", t.tokens(F.col("text")).alias("toks")).select("doc_id", logits.alias("z"))
     rows = rows.select("doc_id", F.arrays_zip(F.col("z"), m.softmax(F.col("z")).alias("p"), F.array(*[F.lit(x) for x, _ in words]).alias("label"), F.sequence(F.lit(0), F.lit(3)).alias("ord")).alias("x"))
     best = F.array_max(F.transform("x", lambda x: F.struct(x["z"].alias("z"), x["ord"].alias("o"), x["p"].alias("p"), x["label"].alias("label"))))

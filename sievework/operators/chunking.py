@@ -147,10 +147,10 @@ def deduped(items: list, policy: str = "allow") -> list:
 
 
 def merged_value(values: list, policy: str = "allow"):
-    """One value from those of all windows; null, {} and [] do not count."""
-    values = [v for v in values if v not in (None, {}, [])]
+    """One value from those of all windows; null, {} and [] do not count, but one of them stays if there is nothing else."""
+    given, values = values, [v for v in values if v not in (None, {}, [])]
     if not values:
-        return None
+        return given[0] if given else None
     if all(isinstance(v, dict) and "confidence" in v for v in values):
         return max(enumerate(values), key=lambda x: (x[1]["confidence"], x[0]))[1]
     if all(isinstance(v, list) for v in values):
@@ -171,8 +171,7 @@ def merge_results(text: str, chunk_starts: list[int], results: list[dict], polic
             labels = dict.fromkeys(k for g in given for k in g)
             out[name] = {label: deduped([x for g in given for x in g.get(label, [])], policy) for label in labels}
         else:
-            merged = merged_value(given, policy)
-            out[name] = given[0] if merged is None else merged
+            out[name] = merged_value(given, policy)
     return stripped(out, confidence, spans)
 
 
