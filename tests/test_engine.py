@@ -146,7 +146,7 @@ RULES = Lexical(entities=(("person", "[A-Z][a-z]+", 3.0), ("company", "[A-Z]{3,}
 def test_extract_all_tasks(spark):
     schema = (
         SchemaBuilder().entities(["person", "company"]).classification("tone", ["glad", "sad"])
-        .structure("sale", "natural", "item").field("item", dtype="str").field("price", dtype="str").done()
+        .structure("sale", "natural", "item").field("item", dtype="str").field("price", dtype="str", threshold=0.3).done()
         .relation("works_for", fields=("person", "company")).attributes({"mood": AttributeGroup(("up", "down"), applies_to=("person",))}).build()
     )
     texts = files.from_texts(spark, ["happy Ann works for ACME , good ; box1 costs $5 and box2 costs $7", None, ""])
