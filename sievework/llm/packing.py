@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections import defaultdict
-from itertools import count
+from itertools import chain, count, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,10 +66,21 @@ def place(sizes, window: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
+#: ASCII punctuation but the apostrophe, which begins contractions.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def halved(word: bytes) -> tuple[bytes, bytes]:
+    """A word before and from its closing marks, which this tokenizer never joins with a letter or digit before them."""
+    core = word.rstrip(MARKS)
+    return (core, word[len(core) :]) if core[-1:].isalnum() and b"<|" not in word else (word, b"")
+
+
 def piece_rows(path: str, window: int, end_id: int):
     """The mapInArrow function that makes the pieces of each document.
 
-    White space separates tokens in this tokenizer, so each distinct word is encoded once.
+    White space separates tokens in this tokenizer, so each distinct word is encoded once, and so are
+    words that differ only in closing marks.
     """
 
     def run(batches):
@@ -84,19 +95,25 @@ def piece_rows(path: str, window: int, end_id: int):
         row = 0
         for batch in slices(batches):
             if len(index) > REMEMBERED or not index:
-                index = defaultdict(count().__next__)
+                index, ids_of = defaultdict(count().__next__), {b"": []}
                 index[b"\n"]  # no word has white space: stands for the end id
                 pool, size, begin = [np.array([end_id], dtype="<u4")], [np.array([1])], 1
                 known = 1
-            codes, words = [], []
+            codes = []
             for t in batch.column(1):
-                w = t.as_buffer().to_pybytes().split()
+                t = t.as_buffer().to_pybytes()
+                # the tokenizer ignores case, except in its special tokens
+                w = (t if b"<|" in t else t.lower()).split()
                 codes.append(np.fromiter(map(index.__getitem__, w), dtype=np.int64, count=len(w)))
             if len(index) > known:
-                words = [w.decode() for w in list(index)[known:]]
-                got = [e.ids for e in tok.encode_batch(words, add_special_tokens=False)]
+                halves = [halved(w) for w in islice(index, known, None)]
+                asked = [x for x in dict.fromkeys(chain.from_iterable(halves)) if x not in ids_of]
+                for a in range(0, len(asked), 10_000):
+                    part = asked[a : a + 10_000]
+                    ids_of.update(zip(part, (e.ids for e in tok.encode_batch_fast([x.decode() for x in part], add_special_tokens=False))))
+                got = [ids_of[x] + ids_of[y] for x, y in halves]
                 size.append(np.fromiter(map(len, got), dtype=np.int64, count=len(got)))
-                pool.append(np.fromiter((i for x in got for i in x), dtype="<u4"))
+                pool.append(np.fromiter(chain.from_iterable(got), dtype="<u4"))
                 known = len(index)
                 pool, size = [np.concatenate(pool)], [np.concatenate(size)]
             all_ids, lens = pool[0], size[0]

@@ -69,9 +69,10 @@ def test_mixing_code_is_a_distribution():
     tables = {"none": np.zeros(2 * ws.code.nodes, dtype=int), "last": np.zeros(2 * context_mixing.SLOTS, dtype=int), "before": np.zeros(2 * context_mixing.SLOTS, dtype=int)}
     tables |= {f"spell{k}": np.zeros(2 << context_mixing.SPELL_BITS, dtype=int) for k in range(3)}
     tables["none"][:4] = [3, 1, 7, 2]
+    every = np.arange(5)
     m = context_mixing.Model(ws, tables)
-    s = np.arange(5)
-    p = 10 ** m.mixed(s, np.zeros(5, int), np.zeros(5, int), np.arange(5), np.zeros(5, int), 5)
+    zero = np.zeros(5, dtype=int)
+    p = 10 ** m.mixed(every, zero, zero, every, zero, 5)
     assert abs(p.sum() - 1) < 1e-9
     assert abs(sum(10 ** m.spelled([bytes([b])])[0] / 10 ** m.spelled([b""])[0] for b in range(256)) * 10 ** m.spelled([b""])[0] - 2**-8) < 1e-9
 
