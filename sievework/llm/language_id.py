@@ -46,19 +46,31 @@ def stretches(word: str) -> list[str]:
     return [marked[i : i + STRETCH] for i in range(0, len(marked), STRETCH)]
 
 
+def numbered(pieces: list[str]) -> dict[str, int]:
+    """The number of each piece, and 0 for what only begins one: where neither is found, no longer piece can be."""
+    out = {p[:k]: 0 for p in pieces for k in range(1, len(p))}
+    out.update((p, i) for i, p in enumerate(pieces) if i)
+    return out
+
+
 class Lattices:
-    """All pieces that occur in each of many stretches, as edges sorted by where they end."""
+    """All pieces that occur in each of many stretches, as edges sorted by where they end.
+
+    ``number`` is that of numbered().
+    """
 
     def __init__(self, texts: list[str], number: dict[str, int]):
         who, begin, end, piece = [], [], [], []
         for i, t in enumerate(texts):
             n = len(t)
             for a in range(n):
-                one = number.get(t[a])
-                who.append(i), begin.append(a), end.append(a + 1), piece.append(UNKNOWN if one is None else one)
+                p = number.get(t[a])
+                who.append(i), begin.append(a), end.append(a + 1), piece.append(p or UNKNOWN)
                 for b in range(a + 2, min(n, a + LONGEST) + 1):
+                    if p is None:
+                        break
                     p = number.get(t[a:b])
-                    if p is not None:
+                    if p:
                         who.append(i), begin.append(a), end.append(b), piece.append(p)
         self.n, self.sizes = len(texts), np.array([len(t) for t in texts], dtype=np.int64)
         order = np.argsort(np.array(end, dtype=np.int64), kind="stable")
@@ -94,7 +106,7 @@ class Lattices:
 
 def fit_pieces(counts: dict[str, dict[str, int]], pieces: list[str]):
     """(languages, matrix of piece probabilities) from word counts of each language."""
-    number = {p: i for i, p in enumerate(pieces) if i}
+    number = numbered(pieces)
     languages = sorted(counts)
     out = np.zeros((len(languages), len(pieces)))
     for k, lang in enumerate(languages):
@@ -149,7 +161,7 @@ def predict_rows(model):
         import regex
 
         languages, probabilities, pieces = received(model)
-        number = {p: i for i, p in enumerate(pieces) if i}
+        number = numbered(pieces)
         letter = regex.compile(r"\p{L}")
         index: dict = {}
         for batch in slices(batches):

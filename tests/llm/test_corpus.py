@@ -102,7 +102,7 @@ def test_byte_bpe_equals_library(docs, rows):
 
 def test_segmentations_are_summed():
     pieces = ["", "▁", "a", "b", "ab", "▁a"]
-    lattice = language_id.Lattices(["▁ab"], {p: i for i, p in enumerate(pieces) if i})
+    lattice = language_id.Lattices(["▁ab"], language_id.numbered(pieces))
     p = np.array([0.0, 0.1, 0.2, 0.3, 0.15, 0.25])
     assert abs(lattice.likelihood(p)[0] - (0.1 * 0.2 * 0.3 + 0.1 * 0.15 + 0.25 * 0.3)) < 1e-12
     uses = lattice.expected(p, np.array([1.0]))
