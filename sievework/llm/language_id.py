@@ -60,21 +60,25 @@ class Lattices:
     """
 
     def __init__(self, texts: list[str], number: dict[str, int]):
-        who, begin, end, piece = [], [], [], []
+        edges: list[int] = []  # stretch, end, begin and piece in one number
+        add, find = edges.append, number.get
         for i, t in enumerate(texts):
-            n = len(t)
+            n, at = len(t), i << 28
             for a in range(n):
-                p = number.get(t[a])
-                who.append(i), begin.append(a), end.append(a + 1), piece.append(p or UNKNOWN)
-                for b in range(a + 2, min(n, a + LONGEST) + 1):
-                    if p is None:
-                        break
-                    p = number.get(t[a:b])
+                p = find(t[a])
+                add(at | (a + 1) << 22 | a << 16 | (p or UNKNOWN))
+                b = a + 2
+                while p is not None and b <= n:
+                    p = find(t[a:b])
                     if p:
-                        who.append(i), begin.append(a), end.append(b), piece.append(p)
+                        add(at | b << 22 | a << 16 | p)
+                    b += 1
+        packed = np.array(edges, dtype=np.int64)
+        end = packed >> 22 & 63
+        order = np.argsort(end, kind="stable")
+        packed, self.end = packed[order], end[order]
+        self.who, self.begin, self.piece = packed >> 28, packed >> 16 & 63, packed & 0xFFFF
         self.n, self.sizes = len(texts), np.array([len(t) for t in texts], dtype=np.int64)
-        order = np.argsort(np.array(end, dtype=np.int64), kind="stable")
-        self.who, self.begin, self.end, self.piece = (np.array(x, dtype=np.int64)[order] for x in (who, begin, end, piece))
         self.deep = int(self.sizes.max()) if len(texts) else 0
         self.cuts = np.searchsorted(self.end, np.arange(1, self.deep + 2))
 
