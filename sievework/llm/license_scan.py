@@ -1,9 +1,10 @@
 """License texts found in documents by Dice coefficient over word bigrams.
 
-Texts and templates are normalised to lower-case words without ASCII punctuation. For each template, the words of a
-document where one of its bigrams begins are joined into segments as long as no gap is wider than
-GAP words. A segment's bigram set is compared with the template's if their sizes can reach the
-threshold at all: with Dice >= t, a set of x bigrams needs a partner of t/(2-t)*x to (2-t)/t*x.
+Texts and templates are normalised to lower-case words without ASCII punctuation. A window runs from a word of a
+document where a bigram of the template begins to the end of such a bigram. Of all windows whose bigram set has
+Dice >= t with the template's, those of the largest Dice are taken (the shorter, then the first, of equal ones) as
+long as they share no word with one taken before, and are drawn out over bigrams that they already have. With Dice >= t, a set of x bigrams needs a partner of t/(2-t)*x to
+(2-t)/t*x: windows of other sizes are not looked at, and stretches with more foreign bigrams than that leaves are not crossed.
 Whole texts are scanned, whatever their length; a document has as many rows as it has matches.
 
 Defined cases: null, empty and non-matching texts give no rows; repeated rows give their matches each;
@@ -13,12 +14,16 @@ of fewer than two words matches nothing; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import defaultdict
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.common import text_bytes
 
-#: Words between two bigrams of a template that still belong to one segment.
+#: Gap of the segments by hand that a test compares with; the scan does not use it.
 GAP = 4
 MATCHES = "doc_id long, license string, first_word long, last_word long, dice double"
 
@@ -46,8 +51,78 @@ def words(text: bytes) -> list[bytes]:
 
 
 def bounds(size: int, least: float) -> tuple[float, float]:
-    """Set sizes that can reach the threshold with a set of this size."""
-    return size * least / (2 - least), size * (2 - least) / least
+    """Set sizes that can reach the threshold with a set of this size (rounding must not lose one that just does)."""
+    return size * least / (2 - least) - 1e-9, size * (2 - least) / least + 1e-9
+
+
+def reaches(at, pair, most: float):
+    """The places in runs that a window can lie in: no more than ``most`` distinct foreign bigrams between neighbours."""
+    runs, start = [], 0
+    for j in range(1, len(at)):
+        a, z = at[j - 1] + 1, at[j]
+        # the first part of a wide gap nearly always has too many; if not, all of it is looked at
+        if z - a > most and (len(set(pair[a : min(z, a + 4 * int(most) + 4)])) > most or len(set(pair[a:z])) > most):
+            runs.append(at[start:j])
+            start = j
+    return [*runs, at[start:]]
+
+
+def windows(run: list[int], pair: list, own: set, least: float) -> list[tuple[float, int, int]]:
+    """(Dice, first, last bigram) of the windows of a run that reach the threshold and have no equal or better one inside.
+
+    Such a window has its first and last bigram once, so from each start the scan ends where that bigram comes again:
+    all scans together take at most the run's length times the template's.
+    """
+    low, high = bounds(len(own), least)
+    out = []
+    for a in run:
+        seen, hits = {pair[a]}, 1
+        if 2 * hits / (len(seen) + len(own)) >= least:
+            out.append((2 * hits / (len(seen) + len(own)), a, a))
+        for z in range(a + 1, run[-1] + 1):
+            p = pair[z]
+            if p in seen:
+                if p == pair[a]:
+                    break
+                continue
+            seen.add(p)
+            if len(seen) > high:
+                break
+            if p in own:
+                hits += 1
+                dice = 2 * hits / (len(seen) + len(own))
+                if dice >= least:
+                    out.append((dice, a, z))
+    return out
+
+
+def best(found: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """The windows that are taken, in order of place."""
+    taken: list[tuple[int, int, float]] = []
+    for dice, a, z in sorted(found, key=lambda w: (-w[0], w[2] - w[1], w[1])):
+        i = bisect_left(taken, (a,))
+        if (i == 0 or taken[i - 1][1] + 1 < a) and (i == len(taken) or z + 1 < taken[i][0]):
+            taken.insert(i, (a, z, dice))
+    return [(dice, a, z) for a, z, dice in taken]
+
+
+def drawn_out(taken: list[tuple[float, int, int]], pair: list, own: set) -> list[tuple[float, int, int]]:
+    """The windows, each as far to the right and left as its own bigrams go on, but not into the next: its Dice stays."""
+    out: list[tuple[float, int, int]] = []
+    for i, (dice, a, z) in enumerate(taken):
+        inside = set(pair[a : z + 1])
+        right = taken[i + 1][1] - 1 if i + 1 < len(taken) else len(pair)
+        left = out[-1][2] + 1 if out else -1
+        for k in range(z + 1, right):
+            if pair[k] not in inside:
+                break
+            z = k if pair[k] in own else z
+        for k in range(a - 1, left, -1):
+            if pair[k] not in inside:
+                break
+            a = k if pair[k] in own else a
+        out.append((dice, a, z))
+    return out
 
 
 def scan_rows(templates: dict[str, str], least: float):
@@ -67,7 +142,7 @@ def scan_rows(templates: dict[str, str], least: float):
         for name, pairs in sets:
             table = np.zeros(base * base, dtype=bool)
             table[[a * base + b for a, b in pairs]] = True
-            marks.append((name, len(pairs), table))
+            marks.append((name, pairs, table))
         any_ = np.logical_or.reduce([m for _, _, m in marks]) if marks else np.zeros(base * base, dtype=bool)
         for batch in batches:
             cols: list[list] = [[] for _ in range(5)]
@@ -81,20 +156,21 @@ def scan_rows(templates: dict[str, str], least: float):
                 where = np.flatnonzero(any_[pair])
                 if not len(where):
                     continue
-                for name, size, table in marks:
+                pairs_of = None
+                for name, own, table in marks:
                     at = where[table[pair[where]]]
-                    if not len(at):
+                    low, high = bounds(len(own), least)
+                    if len(at) < low or len(np.unique(pair[at])) < low:
                         continue
-                    low, high = bounds(size, least)
-                    for seg in np.split(at, np.flatnonzero(np.diff(at) > GAP) + 1):
-                        a, z = int(seg[0]), int(seg[-1])
-                        if z - a + 1 < low:
-                            continue
-                        own = {(x, y) for x, y in zip(w[a : z + 1], w[a + 1 : z + 2])}
-                        if not low <= len(own) <= high:
+                    if pairs_of is None:
+                        # words that no template has are numbered here, for this text only
+                        mine: dict[bytes, int] = defaultdict(count(base).__next__, number)
+                        every = [mine[x] for x in w]
+                        pairs_of = list(zip(every, every[1:]))
+                    for run_ in reaches(at.tolist(), pairs_of, high - len(own)):
+                        if len({pairs_of[i] for i in run_}) < low:
                             continue
-                        dice = 2 * len(set(pair[seg].tolist())) / (len(own) + size)
-                        if dice >= least:
+                        for dice, a, z in drawn_out(best(windows(run_, pairs_of, own, least)), pairs_of, own):
                             for col, v in zip(cols, (doc, name, a, z + 1, dice)):
                                 col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64())], names=[x.split()[0] for x in MATCHES.split(", ")])

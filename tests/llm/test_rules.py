@@ -176,6 +176,55 @@ def test_license_scan(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def windows_by_hand(text, templates, least=0.8):
+    """Every window that starts and ends at a bigram of the template; the best ones that share no word."""
+    w, out = license_scan.words(text.encode()), []
+    pairs = list(zip(w, w[1:]))
+    for name, template in templates.items():
+        t = license_scan.words(template.encode())
+        own = set(zip(t, t[1:]))
+        at = [i for i, p in enumerate(pairs) if p in own]
+        sets = [(a, z, set(pairs[a : z + 1])) for a in at for z in at if a <= z]
+        every = sorted((-2 * len(s & own) / (len(s) + len(own)), z - a, a, z) for a, z, s in sets)
+        used: set = set()
+        chosen = []
+        for dice, _, a, z in every:
+            if -dice >= least and used.isdisjoint(range(a, z + 2)):
+                used |= set(range(a, z + 2))
+                chosen.append((a, z, round(-dice, 9)))
+        for a, z, dice in sorted(chosen):
+            same = set(pairs[a : z + 1])
+            used -= set(range(a, z + 2))
+            free = lambda x, y: set(pairs[x : y + 1]) == same and used.isdisjoint(range(x, y + 2))  # noqa: B023, E731
+            z = max(y for y in at if y >= z and free(a, y))
+            a = min(x for x in at if x <= a and free(x, z))
+            used |= set(range(a, z + 2))
+            out.append((name, a, z + 1, dice))
+    return out
+
+
+def test_license_windows_against_brute_force(spark):
+    import random
+
+    mit, apache = "Released under the MIT License.", license_scan.TEMPLATES["Apache-2.0"]
+    bsd = "Redistribution and use in source and binary forms of the software as well as documentation, with or without modification, are permitted provided that the following conditions are met:"
+    texts = [bsd, f"{mit}\n{apache}\n{mit}", f"{mit} {mit}", f"{apache} {apache} {apache}", "under the " * 40 + mit]
+    random.seed(10)
+    for _ in range(150):
+        w = [x for _ in range(random.choice([1, 2, 3])) for x in (*license_scan.words(random.choice(list(license_scan.TEMPLATES.values())).encode()), *[b"of"] * random.randint(0, 3))]
+        for _ in range(random.choice([0, 1, 3, 8])):
+            k = random.randrange(len(w))
+            w[k : k + random.choice([0, 1])] = random.choice([[b"the"], [random.choice(w)], [b"old", b"new"], w[k : k + 4], [b"xx"] * 30])
+        texts.append(b" ".join(w).decode())
+    templates = license_scan.TEMPLATES | {"two": "a the", "own": "the the the license the"}
+    for least in (0.8, 0.5):
+        got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates, least).collect()
+        want = Counter((i, *m) for i, t in enumerate(texts) for m in windows_by_hand(t, templates, least))
+        assert Counter((r.doc_id, r.license, r.first_word, r.last_word, round(r.dice, 9)) for r in got) == want
+    kinds = {(r.doc_id, r.license) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {(0, "BSD-3-Clause"), (1, "Apache-2.0"), (1, "MIT")} <= kinds
+
+
 def test_license_lines_all_found(spark):
     lines = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3."}
     found = {(r.doc_id, r.license) for r in license_scan.scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
