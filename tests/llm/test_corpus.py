@@ -77,6 +77,20 @@ def test_mixing_code_is_a_distribution():
     assert abs(sum(10 ** m.spelled([bytes([b])])[0] / 10 ** m.spelled([b""])[0] for b in range(256)) * 10 ** m.spelled([b""])[0] - 2**-8) < 1e-9
 
 
+def test_mixing_sizes_grow_and_escapes_begin_alike():
+    words = [b"a", b"b", b"xya", b"xyb", b"xz"]
+    small = context_mixing.Words(words, [5, 3, 1, 1, 1], 2, 20, 5, 3, [(b"a", 5, 0), (b"b", 3, 0), (b"xy", 2, 2), (b"xz", 1, 1)])
+    assert small.begins == [b"xy", b"xz"] and small.left[1:].tolist() == [2, 1]
+    assert small.symbols(np.array([0, -1, 2, 3, 4]), small.kinds_of_words).tolist() == [0, 2, 4, 4, 5]
+    large = context_mixing.Words(words, [5, 3, 1, 1, 1], 2, 6 * 10**9, 5, 3)
+    assert large.before > 10_000 > small.before and large.last > small.last and large.slot_bits > small.slot_bits
+    many = [n + 2 for n in range(100_000, 0, -1)]
+    assert context_mixing.Words([b"%d" % n for n in many], many, 2, sum(many) + 2, 10**5, 0).coded > context_mixing.CODED
+    tables = {"none": np.zeros(2 * small.code.nodes, dtype=int), "last": np.zeros(2 << small.slot_bits, dtype=int), "before": np.zeros(2 << small.slot_bits, dtype=int)}
+    m = context_mixing.Model(small, tables | {f"spell{k}": np.zeros(2 << context_mixing.SPELL_BITS, dtype=int) for k in range(3)})
+    assert abs(10 ** m.mass[1] - 2**-16) < 1e-12 and abs((10**m.mass).sum() - 1) < 1e-9
+
+
 def test_repeats_by_hand():
     random.seed(1)
     codes = np.array([random.randint(0, 3) for _ in range(60)])
