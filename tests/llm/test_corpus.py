@@ -91,6 +91,30 @@ def test_mixing_sizes_grow_and_escapes_begin_alike():
     assert abs(10 ** m.mass[1] - 2**-16) < 1e-12 and abs((10**m.mass).sum() - 1) < 1e-9
 
 
+def test_weights_are_fitted_and_refined_in_short_texts():
+    ws = context_mixing.Words([b"a", b"b"], [50, 50], 2, 102, 2, 0)
+    tables = {"none": np.zeros(2 * ws.code.nodes, dtype=int), "last": np.zeros(2 << ws.slot_bits, dtype=int), "before": np.zeros(2 << ws.slot_bits, dtype=int)}
+    tables |= {f"spell{k}": np.zeros(2 << context_mixing.SPELL_BITS, dtype=int) for k in range(3)}
+    tables["none"][:4] = [30, 10, 7, 2]
+    m = context_mixing.Model(ws, tables)
+    n = 200
+    zero = np.zeros(n, dtype=int)
+    cost = m.mixed(zero + 1, zero, zero, zero, np.arange(n), 1)
+    assert cost[-1] > cost[0] + 0.005  # weights move within the first 256 tokens
+    random.seed(3)
+    x, gate = np.array([random.choice([-2.0, 2.0]) for _ in range(20_000)]), np.array([i % 2 for i in range(20_000)])
+    bit = np.array([random.random() < 1 / (1 + math.exp(-(0.3 + 0.9 * g) * v)) for v, g in zip(x, gate)]).astype(int)
+    fitted = context_mixing.gated(np.full((2, 1), 0.5), gate, (x,), bit)
+    assert abs(fitted[0, 0] - 0.3) < 0.05 and abs(fitted[1, 0] - 1.2) < 0.08
+    spelled = [b"ab%d" % i for i in range(400)]
+    _, slots, b = context_mixing.spelling(spelled)
+    for k in range(3):
+        np.add.at(tables[f"spell{k}"], 2 * slots[k] + b, 1)
+    texts = [b"a b " * 20, b"b a a"]
+    learned = context_mixing.Model(ws, tables, texts, spelled)
+    assert not np.allclose(learned.weights, m.weights) and not np.allclose(learned.spell_weights, m.spell_weights)
+
+
 def test_repeats_by_hand():
     random.seed(1)
     codes = np.array([random.randint(0, 3) for _ in range(60)])
