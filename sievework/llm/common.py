@@ -22,10 +22,12 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors."""
+    """The folder shared by driver and executors. A folder of this machine serves only where all run on it."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if sc.master.startswith("local-") or not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -108,47 +110,105 @@ def fold_of(id_col: str, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+#: A key is heavy if it has more than one row in HEAVY, and more than LIGHT rows; so there are at most HEAVY heavy keys.
+HEAVY, LIGHT = 2000, 1000
+
+
+def looked_up(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with ``found`` on ``key``, without n: one row a key with n, how many of the ``total`` rows have it.
+
+    Rows of heavy keys meet a broadcast of at most HEAVY rows, so no task gets all rows of a key.
+    ``found`` should be cheap to read twice.
+    """
+    heavy = found.where(F.col("n") > max(LIGHT, total // HEAVY))
+    if heavy.isEmpty():
+        return rows.join(found.drop("n"), key)
+    heavy = F.broadcast(heavy.drop("n"))
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(found.drop("n"), key))
+
+
+def most_frequent(counts: DataFrame, most: int, cost: Column | None = None) -> DataFrame:
+    """Rows of ``counts`` with the largest n, as many as ``cost`` (1 a row) adds up to at most ``most``; rows of about equal n go together."""
+    grade = F.floor(F.log2("n") * 16).cast("int")
+    taken, least = 0, None
+    grades = counts.groupBy(grade.alias("g")).agg(F.sum(F.lit(1) if cost is None else cost).alias("cost")).orderBy(F.desc("g")).collect()
+    for r in grades:
+        if taken + r.cost > most:
+            break
+        taken, least = taken + r.cost, r.g
+    return counts.where(F.lit(False) if least is None else grade >= least)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph, as (node, component) with the smallest node as name.
 
     ``edges`` has two bigint columns ``u`` and ``v``. Alternates large-star and small-star
-    contraction until nothing changes: only edges are shuffled, a node's neighbours never meet in
-    one task beyond a map-side-combined minimum. Nodes without edges do not appear.
+    contraction until nothing changes: only edges are shuffled; minima are combined before the
+    shuffle, and the edges of a hub are looked up in a broadcast. Nodes without edges do not appear.
     """
-    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
+
+    def ordered(df: DataFrame) -> DataFrame:
+        return cut(df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+
+    e, mark = ordered(edges), None
     for _ in range(rounds):
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if mark == now:
+            break
+        mark = now
         both = e.union(e.select(F.col("v"), F.col("u"))).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        big = large.where("u <> v").distinct()
+        low = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")))
+        large = looked_up(both.where("v > u"), low, "u", 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        big = cut(large.where("u <> v").distinct())
         # small star: each node with its smaller neighbours, all tied to the smallest of them
-        small_low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(small_low.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == tuple(now):
-            break
-        mark = tuple(now)
+        small_low = cut(big.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = looked_up(big, small_low, "u", now[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = ordered(small.union(small_low.select("u", F.col("m").alias("v"))))
     else:
         raise RuntimeError("components did not settle")
     ends = e.groupBy("u").agg(F.min("v").alias("component"))
-    return ends.select(F.col("u").alias("node"), "component").union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return cut(ends.select(F.col("u").alias("node"), "component").union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
 
 
-#: Bits of a bitmap that tells rows whose key may be in a set; 128 kB are broadcast, at any input size.
-BITMAP_BITS = 1 << 20
+#: Bits of a bitmap that tells rows whose key may be in a set: at least, and at most (1 MB).
+BITMAP_BITS, MOST_BITS = 1 << 20, 1 << 23
 
 
-def perhaps_in(df: DataFrame, key: Column, keys: DataFrame, name: str = "perhaps") -> DataFrame:
+def perhaps_in(df: DataFrame, key: Column, keys: DataFrame, name: str = "perhaps", bits: int = BITMAP_BITS) -> DataFrame:
     """df with a boolean column: false where ``key`` is surely not in ``keys`` (a table with the one column).
 
     A bitmap of hashes is broadcast, so nothing is shuffled. It spares most rows a join; if the keys are
     so many that it fills up, all rows are marked and the join that follows does the work.
     """
-    at = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS)).cast("int")
-    k = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(BITMAP_BITS)).cast("int")
+    at_, word, bit_ = (f"__{x}_{uuid.uuid4().hex}" for x in ("at", "word", "bit"))
+    at = F.pmod(F.xxhash64(key), F.lit(bits)).cast("int")
+    k = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(bits)).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(k, F.lit(64)))
-    words = keys.select(F.floor(k / 64).cast("int").alias("__word"), one.alias("b")).groupBy("__word").agg(F.bit_or("b").alias("__bits"))
-    bit = F.call_function("shiftrightunsigned", F.col("__bits"), F.pmod(at, F.lit(64))).bitwiseAND(F.lit(1)) == 1
-    return df.withColumn("__word", F.floor(at / 64).cast("int")).join(F.broadcast(words), "__word", "left").withColumn(name, F.coalesce(bit, F.lit(False))).drop("__word", "__bits")
+    words = keys.select(F.floor(k / 64).cast("int").alias(word), one.alias("b")).groupBy(word).agg(F.bit_or("b").alias(bit_))
+    bit = F.call_function("shiftrightunsigned", F.col(bit_), F.pmod(F.col(at_), F.lit(64))).bitwiseAND(F.lit(1)) == 1
+    placed = df.withColumn(at_, at).withColumn(word, F.floor(F.col(at_) / 64).cast("int"))
+    return placed.join(F.broadcast(words), word, "left").withColumn(name, F.coalesce(bit, F.lit(False))).drop(at_, word, bit_)
+
+
+def bits_for(keys: int) -> int:
+    """Bits of a bitmap for so many keys: about 16 a key, in bounds."""
+    bits = BITMAP_BITS
+    while bits < min(16 * keys, MOST_BITS):
+        bits *= 2
+    return bits
+
+
+def keep_rows(docs: DataFrame, mark: Column, groups: DataFrame) -> DataFrame:
+    """docs without the rows that ``groups`` drops: a row of (doc_id, mark, kept) for each row of docs.
+
+    ``mark`` is the same function of a row of docs. Of rows with one id and mark, at most one is kept
+    in groups; that with the smallest JSON form stays. Columns of docs may have any names. Only rows
+    that may be dropped are shuffled.
+    """
+    odd = cut(groups.groupBy("doc_id", "mark").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("n > 1 OR NOT kept").withColumn("both", F.xxhash64("doc_id", "mark")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"))
+    asked = perhaps_in(rows, F.xxhash64("doc_id", "mark"), odd.select("both"), bits=bits_for(odd.count()))
+    sure = asked.where("NOT perhaps").select("row")
+    unsure = asked.where("perhaps").alias("r").join(odd.alias("o"), F.expr("r.doc_id <=> o.doc_id AND r.mark = o.mark"), "left")
+    kept = unsure.where("o.kept IS NULL OR o.kept").groupBy("r.doc_id", "r.mark").agg(F.min_by("r.row", F.to_json("r.row")).alias("row")).select("row")
+    return sure.union(kept).select("row.*")

@@ -8,6 +8,9 @@ keeps a hot text from meeting in one task. A hit is believed only after its full
 checked: within each digest that occurs twice or more, the smallest and the largest text must
 be the same bytes; digests where they differ are split by their texts.
 
+The state lives as long as the call, or in a folder that the caller names: then later calls go on from it,
+and a text seen in an earlier call is kept there, not again. Of texts of earlier calls the digest is believed.
+
 Defined cases: null text counts as empty, and all empty texts are one group; of repeated rows with
 the same identifier exactly one is kept; a null identifier sorts first; an empty table gives no
 rows; other columns are ignored, whatever their names.
@@ -15,12 +18,14 @@ rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import SPACE_CLASS, Scratch, cut, perhaps_in, scratch, settings
+from sievework.llm.common import SPACE_CLASS, bits_for, cut, keep_rows, looked_up, perhaps_in, scratch, settings
 
 STATE = {
     "spark__sql__streaming__stateStore__providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -41,47 +46,49 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _stream(prints: str, schema, to: Scratch) -> None:
-    """Runs all fingerprints through the keyed state; each micro-batch's changes become a table."""
-    spark = to.spark
+def _stream(spark: SparkSession, schema, at: str) -> DataFrame:
+    """Runs the new fingerprints in at/prints through the keyed state; gives the state: digest, first, n, group_size."""
+    changes = f"{at}/changes"
     with settings(spark, **STATE):
         state = (
-            spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(prints)
-            .groupBy("digest").agg(F.min(F.struct("doc_id", "rid", "locator")).alias("first"), F.count("*").alias("n"))
+            spark.readStream.schema(schema).option("maxFilesPerTrigger", max(64, 8 * spark.sparkContext.defaultParallelism)).parquet(f"{at}/prints")
+            .groupBy("digest").agg(F.min(F.struct("doc_id", "locator")).alias("first"), F.count("*").alias("n"))
         )
         run = (
-            state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", to.path("state"))
-            .foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{to.path('changes')}/batch={batch}")).start()
+            state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{at}/state")
+            .foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{changes}/batch={batch}")).start()
         )
         run.awaitTermination()
+    try:
+        seen = spark.read.parquet(changes)
+    except AnalysisException as e:  # no micro-batch ran: the table was empty
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        seen = spark.createDataFrame([], "digest string, first struct<doc_id:long,locator:string>, n long, batch int")
+    return cut(seen.groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n")).withColumn("group_size", F.col("n")))
 
 
-def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, keep_locator.
 
-    ``digest`` is the fingerprint of the normalised text; results are exact for any function.
+    ``digest`` is the fingerprint of the normalised text; results are exact for any function. ``state``: a
+    folder that all executors share, where the state stays for later calls.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm"), F.input_file_name().alias("file"))
     with scratch(spark) as tmp:
-        prints = tmp.table(
-            base.select("doc_id", F.monotonically_increasing_id().alias("rid"), digest(F.col("norm")).alias("digest"), sha256(F.col("norm")).alias("text_sha256"), F.concat_ws("#", F.input_file_name(), F.monotonically_increasing_id().cast("string")).alias("locator")) if digest is not sha256
-            else base.select("doc_id", F.monotonically_increasing_id().alias("rid"), sha256(F.col("norm")).alias("digest"), F.concat_ws("#", F.input_file_name(), F.monotonically_increasing_id().cast("string")).alias("locator")),
-            "prints",
-        )
-        _stream(tmp.path("prints"), prints.schema, tmp)
-        empty = spark.createDataFrame([], "digest string, first struct<doc_id:long,rid:long,locator:string>, n long, batch int")
-        try:
-            changes = spark.read.parquet(tmp.path("changes"))
-        except Exception as e:  # no micro-batch ran: the table was empty
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            changes = empty
-        state = cut(changes.groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n")))
-        torn = cut(_unequal(base, state, digest))
-        shown = prints if digest is not sha256 else prints.withColumn("text_sha256", F.col("digest"))
-        rows = shown.join(state, "digest")
-        out = rows.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256", F.col("first.locator").alias("keep_locator"), "digest")
+        run = uuid.uuid4().hex
+        locator = F.concat_ws("#", "file", F.lit(run), F.monotonically_increasing_id().cast("string")).alias("locator")
+        at = tmp.root if state is None else state
+        prints = base.select("doc_id", digest(F.col("norm")).alias("digest"), (sha256(F.col("norm")) if digest is not sha256 else F.lit(None).cast("string")).alias("text_sha256"), locator)
+        prints.write.mode("append").parquet(f"{at}/prints")
+        known = _stream(spark, prints.schema, at)
+        mine = spark.read.schema(prints.schema).parquet(f"{at}/prints").where(F.col("locator").contains(f"#{run}#")).withColumn("text_sha256", F.coalesce("text_sha256", "digest"))
+        if state is not None:  # counts of the rows of this call, which the join below meets
+            known = cut(known.drop("n").join(mine.groupBy("digest").agg(F.count("*").alias("n")), "digest"))
+        total = mine.count()
+        torn = cut(_unequal(base, known, digest))
+        out = looked_up(mine, known, "digest", total).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("first.locator")).alias("kept"), "text_sha256", F.col("first.locator").alias("keep_locator"), "digest")
         if not torn.isEmpty():
             out = out.join(torn, "digest", "left_anti").unionByName(_by_text(base, torn, digest))
         return cut(out.drop("digest"))
@@ -89,7 +96,8 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
 
 def _unequal(base: DataFrame, state: DataFrame, digest) -> DataFrame:
     """Digests with more than one text. Only texts whose digest may be a hit are compared."""
-    maybe = perhaps_in(base.withColumn("digest", digest(F.col("norm"))), F.col("digest"), state.where("n > 1").select("digest")).where("perhaps")
+    hits = state.where("n > 1").select("digest")
+    maybe = perhaps_in(base.withColumn("digest", digest(F.col("norm"))), F.col("digest"), hits, bits=bits_for(hits.count())).where("perhaps")
     return maybe.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("z")).where("a <> z").select("digest")
 
 
@@ -101,8 +109,8 @@ def _by_text(base: DataFrame, torn: DataFrame, digest) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without all but one row of each text; the columns stay as they are."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__sha", sha256(normalised())).withColumn("__id", F.col("doc_id").cast("long"))
-    once = marked.join(kept, (marked["__sha"] == kept["__sha"]) & marked["__id"].eqNullSafe(kept["__keep"]), "left_semi")
-    return once.dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
+    """docs without all but one row of each text, that with the smallest id; the columns stay as they are.
+
+    Of rows with one id and equal texts the one with the smallest JSON form stays.
+    """
+    return keep_rows(docs, sha256(normalised()), exact_groups(docs).select("doc_id", F.col("text_sha256").alias("mark"), "kept"))

@@ -227,6 +227,20 @@ def test_exact_dedup_filter_and_empty(docs, rows):
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_remembers(spark, tmp_path):
+    first = spark.createDataFrame([(5, "a  b"), (6, "c")], "doc_id long, text string")
+    later = spark.createDataFrame([(7, "a b"), (8, "d"), (4, "c")], "doc_id long, text string")
+    exact_dedup.exact_groups(first, state=str(tmp_path))
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(later, state=str(tmp_path)).collect()}
+    assert got == {7: (5, 2, False), 8: (8, 1, True), 4: (4, 2, True)}
+
+
+def test_dropping_keeps_columns_and_is_settled(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", 2, "s", "t"), (1, "a b c d e f", "w", 1, "s", "t"), (2, "a b  c d e f", "v", 0, "s", "t")], "doc_id long, text string, __id string, __sha int, mark string, kept string")
+    for drop in (exact_dedup.drop_copies, jaccard_join.drop_near_copies):
+        assert [tuple(r) for r in drop(docs).collect()] == [(1, "a b c d e f", "w", 1, "s", "t")]
+
+
 def near_by_hand(rows, n, t):
     sets = [frozenset(tuple(w[a : a + n]) for a in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else []) for w in (words(x) for _, x in rows)]
     up = list(range(len(rows)))
@@ -263,15 +277,30 @@ def test_jaccard_join(spark, docs, rows, n, t, block):
     low = lambda g: min((x for x in g if x is not None), default=None)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((i, len(s), low(lows[c])) for (i, _), s, c in zip(every, sets, comp))
     kept = jaccard_join.drop_near_copies(table, n, t)
-    assert kept.columns == table.columns and kept.count() == len({c for s, c in zip(sets, comp)}) - 0
+    assert kept.columns == table.columns and kept.count() == len({c if s else (i, x) for s, c, (i, x) in zip(sets, comp, every)})
     assert jaccard_join.similar_groups(table.limit(0), n, t).count() == 0
 
 
+def test_signatures_of_many_sets_are_combined(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard_join, "MANY", 3)
+    sigs = {node: np.array([1, 2 + node % 2, 100 + node], dtype=np.uint64).tobytes() for node in range(10, 20)}
+    batch = pa.RecordBatch.from_arrays([pa.array(list(sigs)), pa.array(list(sigs.values()), pa.binary())], names=["node", "keys"])
+    rows = [tuple(r.values()) for b in jaccard_join.key_rows([batch, batch]) for r in b.to_pylist()]
+    groups: dict = {}
+    for key, node in rows:
+        groups.setdefault(key, []).append(node)
+    assert set(groups[1]) == {10, None} == set(groups[2]) and set(groups[3]) == {11, None} and groups[110] == [10]
+    pairs = {tuple(sorted(set(g) - {None})) for g in groups.values() if len(g) == 3}
+    assert pairs == {(10, n) for n in range(11, 20)} | {(11, n) for n in (13, 15, 17, 19)}
+
+
 def test_linked_against_brute_force():
     random.seed(8)
     for _ in range(40):
         t = random.choice([Fraction(9, 10), Fraction(4, 5), Fraction(1, 2)])
-        base = [[random.getrandbits(64) for _ in range(random.choice([5, 12, 30, 80]))] for _ in range(3)]
+        base = [[random.getrandbits(64) for _ in range(random.choice([5, 12, 30, 80, 600]))] for _ in range(3)]
         made = set()
         for _ in range(30):
             s = set(random.choice(base))
@@ -282,6 +311,7 @@ def test_linked_against_brute_force():
         sets = [np.array(sorted(s), dtype=np.uint64) for s in made]
         sizes = jaccard_join.Sizes(t)
         keys = [set(jaccard_join.signatures(s, sizes).tolist()) for s in sets]
+        sketches = [jaccard_join.sketch_of(s) for s in sets]
         brute, fast = list(range(len(sets))), list(range(len(sets)))
 
         def find(up, i):
@@ -293,6 +323,7 @@ def test_linked_against_brute_force():
         for i, j in ((i, j) for i in range(len(sets)) for j in range(i)):
             if len(raw[i] & raw[j]) >= t * len(raw[i] | raw[j]):
                 assert keys[i] & keys[j]
+                assert jaccard_join.may_link(jaccard_join.folded([sketches[i], sketches[j]]), [len(sets[i]), len(sets[j])], t)
                 brute[find(brute, i)] = find(brute, j)
         for i, j in jaccard_join.linked(sets, t):
             assert len(raw[i] & raw[j]) >= t * len(raw[i] | raw[j])
