@@ -12,6 +12,7 @@ length is cut into as many whole windows as it fills; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import defaultdict
@@ -70,17 +71,88 @@ def place(sizes, window: int = WINDOW) -> list[tuple[int, int]]:
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def halved(word: bytes) -> tuple[bytes, bytes]:
-    """A word before and from its closing marks, which this tokenizer never joins with a letter or digit before them."""
-    core = word.rstrip(MARKS)
-    return (core, word[len(core) :]) if core[-1:].isalnum() and b"<|" not in word else (word, b"")
+#: The normalizer and pre_tokenizer of a description whose words can be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+class Habits:
+    """What a tokenizer's description lets one rely on.
+
+    words: white space separates tokens and is dropped, A-Z count as a-z, and closing punctuation never
+    joins the letter or digit before it. Otherwise whole texts are encoded. special: strings that are
+    tokens of their own, in their own case.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.special = [x["content"].encode() for x in told.get("added_tokens") or []]
+        self.words = (told.get("normalizer"), told.get("pre_tokenizer")) == (NORMALIZER, PRE_TOKENIZER) and not any(len(x.split()) != 1 or x.startswith(b"'") for x in self.special)
+        #: what the last token of a word ends with, if so
+        self.end = self.words and (told.get("model") or {}).get("end_of_word_suffix")
+        self.opens = os.path.commonprefix(self.special) or b""
+
+    def parts(self, text: bytes) -> list[bytes]:
+        """What is encoded by itself: words, or the whole text."""
+        if not self.words:
+            return [text] if text else []
+        return (text if self.special and self.opens in text else text.lower()).split()
+
+    def halved(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Each word before and from its closing marks; the second half is empty where that can't be told."""
+        if not self.words:
+            return [(w, b"") for w in words]
+        whole = self.opens if self.special else None
+        return [
+            (w, b"") if w[-1:].isalnum() or (whole is not None and whole in w) or not (core := w.rstrip(MARKS))[-1:].isalnum() else (core, w[len(core) :])
+            for w in words
+        ]
+
+
+class Encoder:
+    """Ids of many words; words of letters only are encoded in lines of LINE, which takes less time."""
+
+    LINE = 200
+
+    def __init__(self, path: str, habits: Habits):
+        import numpy as np
+        from tokenizers import Tokenizer
+
+        self.tok, self.ends = Tokenizer.from_file(path), None
+        if habits.end:
+            vocabulary = self.tok.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(habits.end)]] = True
+
+    def ids(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        import numpy as np
+
+        out, alone, plain = {}, [], []
+        for w in words:
+            t = w.decode()
+            (plain if self.ends is not None and t.isalpha() else alone).append((w, t))
+        for a in range(0, len(plain), 50 * self.LINE):
+            lines = [plain[b : b + self.LINE] for b in range(a, min(a + 50 * self.LINE, len(plain)), self.LINE)]
+            for line, e in zip(lines, self.tok.encode_batch_fast([" ".join([t for _, t in line]) for line in lines], add_special_tokens=False)):
+                ids = e.ids
+                ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(ends) != len(line):  # some word has several ends, as lower case may add marks
+                    alone += line
+                    continue
+                out.update((w, ids[b:c]) for (w, _), b, c in zip(line, [0, *ends], ends))
+        for a in range(0, len(alone), 10_000):
+            part = alone[a : a + 10_000]
+            out.update((w, e.ids) for (w, _), e in zip(part, self.tok.encode_batch_fast([t for _, t in part], add_special_tokens=False)))
+        return out
 
 
 def piece_rows(path: str, window: int, end_id: int):
     """The mapInArrow function that makes the pieces of each document.
 
-    White space separates tokens in this tokenizer, so each distinct word is encoded once, and so are
-    words that differ only in closing marks.
+    If the tokenizer's habits allow it, each distinct word is encoded once, and so are words that differ
+    only in case or closing marks.
     """
 
     def run(batches):
@@ -88,30 +160,25 @@ def piece_rows(path: str, window: int, end_id: int):
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
+        habits = Habits(path)
+        encoder = Encoder(path, habits)
         index: dict = {}
         row = 0
         for batch in slices(batches):
             if len(index) > REMEMBERED or not index:
                 index, ids_of = defaultdict(count().__next__), {b"": []}
-                index[b"\n"]  # no word has white space: stands for the end id
+                index[None]  # stands for the end id
                 pool, size, begin = [np.array([end_id], dtype="<u4")], [np.array([1])], 1
                 known = 1
             codes = []
             for t in batch.column(1):
-                t = t.as_buffer().to_pybytes()
-                # the tokenizer ignores case, except in its special tokens
-                w = (t if b"<|" in t else t.lower()).split()
+                w = habits.parts(t.as_buffer().to_pybytes())
                 codes.append(np.fromiter(map(index.__getitem__, w), dtype=np.int64, count=len(w)))
             if len(index) > known:
-                halves = [halved(w) for w in islice(index, known, None)]
+                halves = habits.halved(list(islice(index, known, None)))
                 asked = [x for x in dict.fromkeys(chain.from_iterable(halves)) if x not in ids_of]
-                for a in range(0, len(asked), 10_000):
-                    part = asked[a : a + 10_000]
-                    ids_of.update(zip(part, (e.ids for e in tok.encode_batch_fast([x.decode() for x in part], add_special_tokens=False))))
-                got = [ids_of[x] + ids_of[y] for x, y in halves]
+                ids_of.update(encoder.ids(asked))
+                got = [ids_of[x] + ids_of[y] if y else ids_of[x] for x, y in halves]
                 size.append(np.fromiter(map(len, got), dtype=np.int64, count=len(got)))
                 pool.append(np.fromiter(chain.from_iterable(got), dtype="<u4"))
                 known = len(index)
