@@ -184,6 +184,23 @@ def test_packing(docs, rows):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_words_are_encoded_as_by_themselves(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("word_bpe_49k.json")
+    library, habits = Tokenizer.from_file(path), packing.Habits(path)
+    words_ = [x.encode() for x in ("one", "İstanbul", "naïve", "don't", "x1y2", "e\u0301te", "\uac00\u1112\u1161", "ﬁn", "a-b", "日本", "")] + [b"w%c" % (97 + i % 26) * (i % 7 + 1) for i in range(500)]
+    got = packing.Encoder(path, habits).ids(words_)
+    assert habits.words and all(got[w] == library.encode(w.decode(), add_special_tokens=False).ids for w in words_)
+    told = json.load(open(path))
+    told["normalizer"]["normalizers"].pop()  # upper case counts now: no short cuts
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(told))
+    assert not packing.Habits(str(other)).words and packing.Habits(str(other)).parts(b"A b") == [b"A b"]
+
+
 def test_sum_of_squares_rule():
     random.seed(6)
     for _ in range(20):
