@@ -14,7 +14,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-HEADLINE = ["s1_tokens", "s2_token_offsets", "c1_windows", "c6_chunk_texts", "e1_shape_entities", "e4_classification", "e6_relations", "t1_pool", "o1_greedy", "o2_flat", "k9_constrained_decode", "p4_extract_entities", "e15_all_tasks"]
+HEADLINE = ["s1_tokens", "s2_token_offsets", "c1_windows", "c6_chunk_texts", "e1_shape_entities", "e4_classification", "e5_counted_relations", "e6_relations", "e7_counted_records", "e12_attributes", "t1_pool", "o1_greedy", "o2_flat", "k9_constrained_decode", "p4_extract_entities", "e15_all_tasks"]
 
 
 def main() -> None:
@@ -36,8 +36,17 @@ def main() -> None:
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         taken[name] = round(time.time() - begun, 3)
     docs = read(spark, sf, "documents").count()
+    tokens = QUERIES["s1_tokens"](spark, sf).agg({"n_tokens": "sum"}).first()[0]
+    # time against rows from the tables ten times smaller, as a guard that nothing grows faster than its input
+    small, scaling = str(Path(sf).parent / "sf0.01"), {}
+    if Path(small).name != Path(sf).name and Path(small).exists():
+        for name in ("s1_tokens", "c6_chunk_texts", "e15_all_tasks"):
+            begun = time.time()
+            QUERIES[name](spark, small).write.format("noop").mode("overwrite").save()
+            scaling[name] = round(taken[name] / (time.time() - begun), 2)
+        scaling["rows"] = round(docs / read(spark, small, "documents").count(), 2)
     total = round(sum(taken.values()), 3)
-    print(json.dumps({"metric": "headline queries, total", "value": total, "unit": "sec", "queries": taken, "sf": sf, "documents": docs, "documents_per_sec_all_tasks": round(docs / taken["e15_all_tasks"], 1)}))
+    print(json.dumps({"metric": "headline queries, total", "value": total, "unit": "sec", "queries": taken, "sf": sf, "documents": docs, "documents_per_sec_all_tasks": round(docs / taken["e15_all_tasks"], 1), "tokens_per_sec": {k: round(tokens / taken[k]) for k in ("s1_tokens", "c6_chunk_texts", "p4_extract_entities", "e15_all_tasks")}, "times_sf0.01": scaling}))
     spark.stop()
 
 

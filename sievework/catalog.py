@@ -13,10 +13,10 @@ from sievework.api import Extractor
 from sievework.functions import constraints as k
 from sievework.functions import math as m
 from sievework.functions import text as t
-from sievework.operators import candidates, chunking, spans
+from sievework.operators import candidates, chunking, decode, spans
 from sievework.operators.scorers import Lexical
 from sievework.plans import prompts
-from sievework.schema import AttributeGroup, RegexValidator, SchemaBuilder
+from sievework.schema import AttributeGroup, Classification, RegexValidator, SchemaBuilder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -73,8 +73,12 @@ def s1_tokens(spark, sf_dir):
 
 @query(f"SELECT doc_id, len({_TOKS})::INT AS n_tokens, list_sum(list_transform({_TOKS}, lambda x: length(x)))::BIGINT AS covered, 0::BIGINT AS wrong FROM documents")
 def s2_token_offsets(spark, sf_dir):
+    @F.pandas_udf("long")
+    def misplaced(low: pd.Series, starts: pd.Series, ends: pd.Series, toks: pd.Series) -> pd.Series:
+        return pd.Series([sum(text[a:b] != tok for a, b, tok in zip(*x)) for text, *x in zip(low, starts, ends, toks)])
+
     rows = read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"), t.token_offsets(F.col("text")).alias("x"))
-    wrong = F.size(F.filter("x", lambda s: t.span_text(F.col("low"), s["start"], s["end"]) != s["tok"]))
+    wrong = misplaced("low", "x.start", "x.end", "x.tok")
     covered = F.aggregate("x", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return rows.select("doc_id", F.size("x").alias("n_tokens"), covered.alias("covered"), wrong.cast("long").alias("wrong"))
 
@@ -262,11 +266,16 @@ def a2_softmax_argmax(spark, sf_dir):
 @query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), p AS (SELECT vec_id, i, v, 1 / (1 + exp(-v)) AS p, max(v) OVER (PARTITION BY vec_id) AS top FROM x)
 SELECT vec_id, i::INT AS label, round(p, 6) AS confidence FROM p WHERE p >= 0.56 OR v = top""")
 def f3_multi_label(spark, sf_dir):
-    v = F.col("v").cast("double")
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("label", "v"))
-    p = m.sigmoid(v)
-    top = F.max("v").over(Window.partitionBy("vec_id"))
-    return rows.withColumn("p", p).withColumn("top", top).where((F.col("p") >= 0.56) | (F.col("v") == F.col("top"))).select("vec_id", "label", F.round("p", 6).alias("confidence"))
+    """Labels over a threshold, or the likeliest, by the decoder of the boundary path."""
+    names = tuple(str(i) for i in range(64))
+
+    @F.pandas_udf("array<struct<label:int,confidence:double>>")
+    def chosen(logits: pd.Series) -> pd.Series:
+        task, o = Classification("kind", names, multi_label=True), decode.Options(threshold=0.56)
+        return logits.map(lambda x: [{"label": int(name), "confidence": p} for name, p in decode.classification([float(v) for v in x], task, o)])
+
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.inline(chosen("embedding")))
+    return rows.select("vec_id", "label", F.round("confidence", 6).alias("confidence"))
 
 
 @query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), c AS (SELECT vec_id, v, list_transform(v, lambda a: a - list_avg(v)) AS c FROM x),
@@ -300,39 +309,86 @@ def e11_assignment(spark, sf_dir):
 _SHAPES = r"CASE WHEN regexp_full_match(tok, '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}') THEN 'email' WHEN regexp_full_match(tok, '[0-9]+') THEN 'number' END"
 
 
-def shapes(spark, sf_dir):
-    kind = F.when(t.regex_valid(F.col("tok"), t.EMAIL), "email").when(t.regex_valid(F.col("tok"), "[0-9]+"), "number")
-    return token_rows(spark, sf_dir).withColumn("type", kind).where("type IS NOT NULL")
+#: Single tokens by shape; labels and places by words.
+RULES = Lexical(
+    entities=SCORER.entities[:2], width=1, per_gap=0.01,
+    keywords=(("language", "en", "the", 0.1), ("language", "de", "der", 0.1), ("language", "fr", "le", 0.1), ("language", "es", "que", 0.1), ("place", "front", "the", 1.0), ("place", "front", "of", 1.0), ("place", "back", "de", 1.0), ("place", "back", "der", 1.0)),
+)
+_HITS = f"h AS (SELECT doc_id, i, tok, {_SHAPES} AS type FROM tok WHERE {_SHAPES} IS NOT NULL)"
+
+
+def extracted(spark, sf_dir, schema, path="boundary", **more):
+    """Whole texts through the public call."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return Extractor(RULES, path=path, windows=False).extract(docs, schema, **more).drop("text")
 
 
-@query(f"""WITH {_TOKEN_ROWS}, h AS (SELECT doc_id, i, tok, {_SHAPES} AS type FROM tok)
-SELECT doc_id, type, i::INT AS token, tok, round(1 / (1 + exp(-(CASE type WHEN 'email' THEN 4.0 ELSE 2.0 END))), 6) AS confidence FROM h WHERE type IS NOT NULL""")
+def shaped_schema():
+    return SchemaBuilder().entities(["email", "number"])
+
+
+def _joined(texts):
+    return F.when(F.size(texts) > 0, F.lower(F.array_join(texts, " ")))
+
+
+@query(f"""WITH {_TOKEN_ROWS}, {_HITS}
+SELECT doc_id, type, (row_number() OVER (PARTITION BY doc_id, type ORDER BY i) - 1)::INT AS ord, tok, round(1 / (1 + exp(-(CASE type WHEN 'email' THEN 4.0 ELSE 2.0 END))), 6) AS confidence FROM h""")
 def e1_shape_entities(spark, sf_dir):
-    p = m.sigmoid(F.when(F.col("type") == "email", 4.0).otherwise(2.0))
-    return shapes(spark, sf_dir).select("doc_id", "type", F.col("i").alias("token"), "tok", F.round(p, 6).alias("confidence")).where("confidence >= 0.5")
+    out = extracted(spark, sf_dir, shaped_schema().build(), "span", include_confidence=True)
+    one = lambda kind: F.transform(f"result.entities.{kind}", lambda x, i: F.struct(F.lit(kind).alias("type"), i.alias("ord"), F.lower(x["text"]).alias("tok"), F.round(x["confidence"], 6).alias("confidence")))
+    return out.select("doc_id", F.inline(F.concat(one("email"), one("number"))))
+
+
+@query(f"""WITH {_TOKEN_ROWS}, {_HITS}
+SELECT doc_id, type, (row_number() OVER (PARTITION BY doc_id, type ORDER BY i) - 1)::INT AS ord, tok FROM h""")
+def e2_flat_entities(spark, sf_dir):
+    """The boundary path, with character offsets from which the text is taken again."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = Extractor(RULES, windows=False).extract(docs, shaped_schema().build(), include_spans=True)
+    one = lambda kind: F.transform(f"result.entities.{kind}", lambda x, i: F.struct(F.lit(kind).alias("type"), i.alias("ord"), F.lower(t.span_text(F.col("text"), x["start"], x["end"])).alias("tok")))
+    return out.select("doc_id", F.inline(F.concat(one("email"), one("number"))))
 
 
 @query(f"""WITH {_TOKEN_ROWS}, h AS (SELECT doc_id, {_SHAPES} AS type FROM tok), q AS (SELECT doc_id, unnest(['email', 'number', 'url']) AS type FROM documents)
 SELECT q.doc_id, q.type, count(h.type) AS n FROM q LEFT JOIN h ON h.doc_id = q.doc_id AND h.type = q.type GROUP BY ALL""")
 def f9_declared_but_empty(spark, sf_dir):
-    asked = spark.createDataFrame([("email",), ("number",), ("url",)], "type string")
-    hits = shapes(spark, sf_dir).groupBy("doc_id", "type").agg(F.count("*").alias("n"))
-    whole = read(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(asked))
-    return whole.join(hits, ["doc_id", "type"], "left").select("doc_id", "type", F.coalesce("n", F.lit(0)).alias("n"))
+    out = extracted(spark, sf_dir, shaped_schema().entities(["url"]).build(), include_spans=True)
+    kinds = F.array(*[F.struct(F.lit(k).alias("type"), F.size(f"result.entities.{k}").cast("long").alias("n")) for k in ("email", "number", "url")])
+    return out.select("doc_id", F.inline(kinds))
 
 
-@query(f"""WITH {_TOKEN_ROWS}, h AS (SELECT doc_id, i, {_SHAPES} AS type FROM tok),
-p AS (SELECT a.doc_id, a.i AS head, b.i AS tail, 1 / (1 + exp(-(2.0 - 0.01 * greatest(greatest(a.i, b.i) - least(a.i, b.i) - 1, 0)))) AS p FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.type = 'email' AND b.type = 'number' AND a.i <> b.i)
-SELECT doc_id, head::INT AS head, tail::INT AS tail, round(p, 6) AS confidence, (row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, head, tail))::INT AS ord FROM p WHERE p >= 0.5""")
+@query(f"""WITH {_TOKEN_ROWS}, {_HITS},
+p AS (SELECT a.doc_id, a.i AS hi, b.i AS ti, a.tok AS head, b.tok AS tail, 1 / (1 + exp(-(2.0 - 0.01 * greatest(greatest(a.i, b.i) - least(a.i, b.i) - 1, 0)))) AS p FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.type = 'email' AND b.type = 'number' AND a.i <> b.i)
+SELECT doc_id, head, tail, round(p, 6) AS confidence, (row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, hi, ti) - 1)::INT AS ord FROM p WHERE p >= 0.5""")
 def e6_relations(spark, sf_dir):
     """Pairs of unlike spans of the two types, scored by distance, likeliest first."""
-    h = shapes(spark, sf_dir)
-    heads = h.where("type = 'email'").select("doc_id", F.col("i").alias("head"))
-    tails = h.where("type = 'number'").select("doc_id", F.col("i").alias("tail"))
-    gap = F.greatest(F.greatest("head", "tail") - F.least("head", "tail") - 1, F.lit(0))
-    pairs = heads.join(tails, "doc_id").where("head <> tail").withColumn("p", m.sigmoid(2.0 - 0.01 * gap)).where("p >= 0.5")
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("p"), "head", "tail"))
-    return pairs.select("doc_id", "head", "tail", F.round("p", 6).alias("confidence"), order.alias("ord"))
+    out = extracted(spark, sf_dir, shaped_schema().relation("reaches", fields=("email", "number")).build(), include_confidence=True)
+    pairs = out.select("doc_id", F.posexplode("result.relation_extraction.reaches").alias("ord", "x"))
+    return pairs.select("doc_id", F.lower("x.head.text").alias("head"), F.lower("x.tail.text").alias("tail"), F.round("x.head.confidence", 6).alias("confidence"), "ord")
+
+
+_INSTANCES = """b AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM h WHERE type = 'email' QUALIFY k <= 19),
+g AS (SELECT doc_id, k, CASE WHEN k = 1 THEN 0 ELSE i END AS lo, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), 1000000000) AS hi FROM b)"""
+
+
+@query(f"""WITH {_TOKEN_ROWS}, {_HITS}, {_INSTANCES},
+p AS (SELECT g.doc_id, g.k, arg_min(h.tok, h.i) FILTER (h.type = 'email') AS head, arg_min(h.tok, h.i) FILTER (h.type = 'number') AS tail FROM g JOIN h ON h.doc_id = g.doc_id AND h.i >= lo AND h.i < hi GROUP BY ALL)
+SELECT doc_id, head, tail, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS ord FROM p WHERE head IS NOT NULL AND tail IS NOT NULL""")
+def e5_counted_relations(spark, sf_dir):
+    """The span path: the best head and tail of each counted instance."""
+    out = extracted(spark, sf_dir, shaped_schema().relation("reaches", fields=("email", "number")).build(), "span")
+    pairs = out.select("doc_id", F.posexplode("result.relation_extraction.reaches").alias("ord", "x"))
+    return pairs.select("doc_id", F.lower("x.head").alias("head"), F.lower("x.tail").alias("tail"), "ord")
+
+
+@query(f"""WITH {_TOKEN_ROWS}, {_HITS}, {_INSTANCES}
+SELECT g.doc_id, (g.k - 1)::INT AS ord, arg_min(h.tok, h.i) FILTER (h.type = 'email') AS contact, array_to_string(list(h.tok ORDER BY h.i) FILTER (h.type = 'number'), ' ') AS amounts
+FROM g JOIN h ON h.doc_id = g.doc_id AND h.i >= lo AND h.i < hi GROUP BY g.doc_id, g.k""")
+def e7_counted_records(spark, sf_dir):
+    """The span path: a record for each counted instance, with a single field and a list."""
+    schema = SchemaBuilder().structure("card").field("email", dtype="str").field("number").done().build()
+    out = extracted(spark, sf_dir, schema, "span").select("doc_id", F.posexplode("result.card").alias("ord", "x"))
+    return out.select("doc_id", "ord", F.lower("x.email").alias("contact"), _joined(F.col("x.number")).alias("amounts"))
 
 
 _KEYS = "kw(label, ord, word) AS (VALUES ('en', 0, 'the'), ('de', 1, 'der'), ('fr', 2, 'le'), ('es', 3, 'que'))"
@@ -342,40 +398,29 @@ _KEYS = "kw(label, ord, word) AS (VALUES ('en', 0, 'the'), ('de', 1, 'der'), ('f
 e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY doc_id)) AS e FROM c), p AS (SELECT doc_id, label, e / sum(e) OVER (PARTITION BY doc_id) AS p, row_number() OVER (PARTITION BY doc_id ORDER BY z DESC, ord DESC) AS r FROM e)
 SELECT doc_id, label, round(p, 6) AS confidence FROM p WHERE r = 1""")
 def e4_classification(spark, sf_dir):
-    """Labels by keyword counts; the last of equally likely ones."""
-    toks = F.col("toks")
-    words = (("en", "the"), ("de", "der"), ("fr", "le"), ("es", "que"))
-    times = lambda w: F.size(F.filter(toks, lambda x: x == w))
-    logits = F.array(*[F.lit(-1.0) + 0.1 * times(w) for _, w in words])
-    rows = read(spark, sf_dir, "documents").select("doc_id", t.tokens(F.col("text")).alias("toks")).select("doc_id", logits.alias("z"))
-    rows = rows.select("doc_id", F.arrays_zip(F.col("z"), m.softmax(F.col("z")).alias("p"), F.array(*[F.lit(x) for x, _ in words]).alias("label"), F.sequence(F.lit(0), F.lit(3)).alias("ord")).alias("x"))
-    best = F.array_max(F.transform("x", lambda x: F.struct(x["z"].alias("z"), x["ord"].alias("o"), x["p"].alias("p"), x["label"].alias("label"))))
-    return rows.select("doc_id", best.alias("b")).select("doc_id", "b.label", F.round("b.p", 6).alias("confidence"))
-
-
-@query(f"""WITH {_TOKEN_ROWS}, h AS (SELECT doc_id, i, tok, {_SHAPES} AS type FROM tok)
-SELECT doc_id, array_to_string(list(tok ORDER BY i) FILTER (type = 'email'), ' ') AS contact, array_to_string(list(tok ORDER BY i) FILTER (type = 'number'), ' ') AS amounts FROM h WHERE type IS NOT NULL GROUP BY doc_id""")
+    """Labels by keyword counts; the last of equally likely ones, as on the boundary path."""
+    schema = SchemaBuilder().classification("language", ["en", "de", "fr", "es"]).build()
+    out = extracted(spark, sf_dir, schema, include_confidence=True)
+    return out.select("doc_id", "result.language.label", F.round("result.language.confidence", 6).alias("confidence"))
+
+
+@query(f"""WITH {_TOKEN_ROWS}, {_HITS}
+SELECT doc_id, array_to_string(list(tok ORDER BY i) FILTER (type = 'email'), ' ') AS contact, array_to_string(list(tok ORDER BY i) FILTER (type = 'number'), ' ') AS amounts FROM h GROUP BY doc_id""")
 def e8_records(spark, sf_dir):
     """One record of two list fields a document, without empty ones."""
-    pick = lambda pattern: F.filter("toks", lambda x: t.regex_valid(x, pattern))
-    rows = read(spark, sf_dir, "documents").select("doc_id", t.tokens(F.col("text")).alias("toks")).select("doc_id", pick(t.EMAIL).alias("contact"), pick("[0-9]+").alias("amounts"))
-    shown = lambda c: F.when(F.size(c) > 0, F.array_join(c, " "))
-    return rows.where((F.size("contact") > 0) | (F.size("amounts") > 0)).select("doc_id", shown(F.col("contact")).alias("contact"), shown(F.col("amounts")).alias("amounts"))
+    schema = SchemaBuilder().structure("card").field("email").field("number").done().build()
+    out = extracted(spark, sf_dir, schema).select("doc_id", F.explode("result.card").alias("x"))
+    return out.select("doc_id", _joined(F.col("x.email")).alias("contact"), _joined(F.col("x.number")).alias("amounts"))
 
 
-@query(f"""WITH {_TOKEN_ROWS}, h AS (SELECT doc_id, i, {_SHAPES} AS type FROM tok WHERE {_SHAPES} IS NOT NULL),
-c AS (SELECT h.doc_id, h.i, h.type, -1.0 + count(t.tok) FILTER (t.tok IN ('the', 'of')) AS front, -1.0 + count(t.tok) FILTER (t.tok IN ('de', 'der')) AS back FROM h LEFT JOIN tok t ON t.doc_id = h.doc_id AND t.i BETWEEN h.i - 5 AND h.i + 5 GROUP BY ALL)
-SELECT doc_id, i::INT AS token, type, CASE WHEN back >= front THEN 'back' ELSE 'front' END AS label, round(1 / (1 + exp(-abs(front - back))), 6) AS confidence FROM c WHERE type = 'number'""")
+@query(f"""WITH {_TOKEN_ROWS}, {_HITS},
+c AS (SELECT h.doc_id, h.i, -1.0 + count(t.tok) FILTER (t.tok IN ('the', 'of')) AS front, -1.0 + count(t.tok) FILTER (t.tok IN ('de', 'der')) AS back FROM h LEFT JOIN tok t ON t.doc_id = h.doc_id AND t.i BETWEEN h.i - 5 AND h.i + 5 WHERE h.type = 'number' GROUP BY ALL)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS ord, CASE WHEN back > front THEN 'back' ELSE 'front' END AS label, round(1 / (1 + exp(-abs(front - back))), 6) AS confidence FROM c""")
 def e12_attributes(spark, sf_dir):
     """One of two labels for each number, by the words around it; emails are not of the group's types."""
-    toks = F.col("toks")
-    rows = read(spark, sf_dir, "documents").select("doc_id", t.tokens(F.col("text")).alias("toks"))
-    spans_ = rows.select("doc_id", "toks", F.posexplode("toks").alias("token", "tok")).where(t.regex_valid(F.col("tok"), "[0-9]+"))
-    low = F.greatest(F.col("token") - 5, F.lit(0))
-    near = F.slice(toks, low + 1, F.col("token") + 6 - low)
-    logit = lambda *w: F.lit(-1.0) + F.size(F.filter("near", lambda x: x.isin(*w)))
-    out = spans_.select("doc_id", "token", near.alias("near")).select("doc_id", "token", logit("the", "of").alias("front"), logit("de", "der").alias("back"))
-    return out.select("doc_id", "token", F.lit("number").alias("type"), F.when(F.col("back") >= F.col("front"), "back").otherwise("front").alias("label"), F.round(m.sigmoid(F.abs(F.col("front") - F.col("back"))), 6).alias("confidence"))
+    schema = shaped_schema().attributes({"place": AttributeGroup(("front", "back"), applies_to=("number",))}).build()
+    out = extracted(spark, sf_dir, schema, include_spans=True).select("doc_id", F.posexplode("result.entities.number").alias("ord", "x"))
+    return out.select("doc_id", "ord", "x.place.label", F.round("x.place.confidence", 6).alias("confidence"))
 
 
 @query("""SELECT doc_id, CASE WHEN quality = 1 THEN true WHEN toxic = 1 THEN NULL ELSE false END AS good,
@@ -463,7 +508,11 @@ def e15_all_tasks(spark, sf_dir):
 @query(ORACLES["s1_tokens"])
 def x_streaming_tokens(spark, sf_dir):
     """The token plan over a stream of the documents file, written and read again."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="stream-")
     at = f"{base}/tokens-{uuid.uuid4().hex}"
     kind = read(spark, sf_dir, "documents").schema
     stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/documents*.parquet")

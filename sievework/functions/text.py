@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +36,23 @@ def token_offsets(text: Column, lower: bool = True) -> Column:
     return _token_offsets(F.lower(text) if lower else text)
 
 
+@lru_cache
+def word_pattern():
+    """Runs without Unicode white space, for Python."""
+    import regex
+
+    return regex.compile(r"\P{White_Space}+")
+
+
+def token_id(token: str, size: int = 30522) -> int:
+    """fallback_token_id in Python."""
+    out = 0
+    for b in token.encode():
+        out = (out * 31 + b) % (1 << 64)
+    return out % size
+
+
+@lru_cache
 def token_pattern():
     """The token pattern for Python: letters, marks, digits, connectors and joiners are what the JVM's Unicode \\w takes."""
     import regex

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sievework.errors import ChunkingError
-from sievework.functions.text import span_text
+from sievework.functions.text import span_text, word_pattern
 from sievework.operators.spans import POLICIES, most_confident
 
 #: Words of a window, words that two windows share.
@@ -44,9 +44,7 @@ def chunks(size: int = SIZE, overlap: int = OVERLAP):
 
     @F.pandas_udf(CHUNK_TYPE)
     def cut(texts: pd.Series) -> pd.Series:
-        import re
-
-        word = re.compile(r"\S+")
+        word = word_pattern()
 
         def one(t):
             if t is None:
@@ -66,16 +64,6 @@ def chunks(size: int = SIZE, overlap: int = OVERLAP):
     return cut
 
 
-def remap(spans: Column, shift: Column, text: Column) -> Column:
-    """Spans of a window as spans of its document; their text is taken from there."""
-    return F.transform(spans, lambda s: F.struct((s["start"] + shift).alias("start"), (s["end"] + shift).alias("end"), s["score"].alias("score"), span_text(text, s["start"] + shift, s["end"] + shift).alias("text")))
-
-
-def merge_spans(per_chunk: Column, policy: str = "allow") -> Column:
-    """One array of spans from an array of such arrays."""
-    return POLICIES[policy](F.flatten(per_chunk))
-
-
 def best_label(per_chunk: Column) -> Column:
     """Of struct<label,confidence> of each window the most confident, the last of equal ones."""
     keyed = F.transform(per_chunk, lambda v, i: F.struct(v["confidence"].alias("c"), i.alias("i"), v.alias("v")))
@@ -93,18 +81,20 @@ def canonical(value) -> str:
     return json.dumps(bare(value), sort_keys=True, ensure_ascii=False)
 
 
-def confidence_of(value) -> float:
-    """The first confidence found, outermost first in each branch; else 0."""
+def found_confidence(value) -> float | None:
+    """The first confidence found, outermost first in each branch."""
     if isinstance(value, dict):
         if isinstance(value.get("confidence"), (int, float)):
             return float(value["confidence"])
         value = list(value.values())
     if isinstance(value, list):
-        for v in value:
-            found = confidence_of(v)
-            if found:
-                return found
-    return 0.0
+        return next((c for c in map(found_confidence, value) if c is not None), None)
+    return None
+
+
+def confidence_of(value) -> float:
+    """The first confidence found, be it 0; without any, 0."""
+    return found_confidence(value) or 0.0
 
 
 def is_span(value) -> bool:

@@ -9,6 +9,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+
+from sievework.functions import heads
 from sievework.operators.scorers import Scorer
 from sievework.operators.spans import assignment, flat
 from sievework.schema import Classification, Field, Mode, Schema, Structure
@@ -25,9 +28,7 @@ def sigmoid(x: float) -> float:
 
 
 def softmax(xs: list[float]) -> list[float]:
-    top = max(xs)
-    e = [math.exp(x - top) for x in xs]
-    return [v / sum(e) for v in e]
+    return heads.softmax(np.array(xs, dtype=float)).tolist()
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,8 @@ class Options:
     spans: bool = True
     path: str = "boundary"
     item_thresholds: bool = True
+    #: whether a classification's own threshold counts; else the call's does
+    task_thresholds: bool = False
 
     def least(self, own: float | None) -> float:
         return own if self.item_thresholds and own is not None else self.threshold
@@ -73,7 +76,8 @@ def classification(logits: list[float], c: Classification, o: Options) -> list[t
         best = max(order, key=lambda i: p[i])
         return [(c.labels[best], p[best])]
     p = [sigmoid(x) for x in logits]
-    return [(x, v) for x, v in zip(c.labels, p) if v >= o.threshold or (o.path == "boundary" and v == max(p))]
+    least = c.threshold if o.task_thresholds else o.threshold
+    return [(x, v) for x, v in zip(c.labels, p) if v >= least or (o.path == "boundary" and v == max(p))]
 
 
 def endpoints(kind: str, found: dict[str, list], scored: dict, least: float) -> list[tuple[int, int]]:
@@ -84,19 +88,41 @@ def endpoints(kind: str, found: dict[str, list], scored: dict, least: float) ->
     return every or sorted({h[1:] for h in flat(probable(scored.get(kind, []), least))})
 
 
-def relations(scorer: Scorer, schema: Schema, found: dict, scored: dict, n: int, o: Options) -> dict[str, list]:
+def relations(scorer: Scorer, schema: Schema, found: dict, scored: dict, tokens: list, o: Options) -> dict[str, list]:
     """relation -> (probability, head, tail), likeliest first, every declared relation present."""
     out = {}
     for r in schema.relations:
         least, rows = o.least(r.threshold), {}
         for h in endpoints(r.fields[0], found, scored, o.threshold):
             for t in endpoints(r.fields[1], found, scored, o.threshold):
-                if h != t and (h, t) not in rows and (p := sigmoid(scorer.pair(r.name, h, t, n))) >= least:
+                if h != t and (h, t) not in rows and (p := sigmoid(scorer.pair(r.name, h, t, len(tokens), tokens))) >= least:
                     rows[h, t] = p
         out[r.name] = sorted(((p, h, t) for (h, t), p in rows.items()), key=lambda x: -x[0])
     return out
 
 
+def counted_relations(scorer: Scorer, schema: Schema, text: str, tokens: list, scored: dict, o: Options) -> dict[str, list]:
+    """relation -> (best head, best tail) of each instance that has both, as hits; the form of the span path."""
+    out: dict = {}
+    for r in schema.relations:
+        least, out[r.name] = o.least(r.threshold), []
+        fields = list(r.fields[:2])
+        for k in range(scorer.count(text, tokens, r.name, fields)):
+            own = scorer.instance(text, tokens, r.name, fields, k, scored)
+            ends = [max(probable(own.get(f, []), least), key=lambda h: h[0], default=None) for f in fields]
+            if None not in ends:
+                out[r.name].append(tuple(ends))
+    return out
+
+
+def counted_records(scorer: Scorer, s: Structure, text: str, tokens: list, scored: dict, texts, o: Options) -> list[dict[str, list]]:
+    """A record for each instance that has anything; the form of the span path."""
+    fields, out = [f.name for f in s.fields], []
+    for k in range(scorer.count(text, tokens, s.name, fields)):
+        out += record(s, scorer.instance(text, tokens, s.name, fields, k, scored), texts, o)
+    return out
+
+
 def field_hits(f: Field, scored: dict, texts, o: Options):
     hits = resolved(scored.get(f.name, []), o.least(f.threshold), o.path)
     return [h for h in hits if (not f.choices or texts(h) in f.choices) and all(v.accepts(texts(h)) for v in f.validators)]
@@ -111,12 +137,12 @@ def record(s: Structure, scored: dict, texts, o: Options) -> list[dict[str, list
     return [made] if any(made.values()) else []
 
 
-def anchored(s: Structure, scored: dict, texts, o: Options, per_gap: float = 0.1, absent: float = 0.0) -> list[dict[str, list]]:
+def anchored(scorer: Scorer, s: Structure, scored: dict, texts, o: Options) -> list[dict[str, list]]:
     """A record for each anchor span; single fields by cheapest assignment with absence, lists to their best owner."""
     anchors = sorted(probable(scored.get(s.anchor, []), o.threshold), key=lambda h: -h[0])
     if not anchors:
         return record(s, scored, texts, o)
-    near = lambda a, c: 2.0 - per_gap * max(max(a[1], c[1]) - min(a[2], c[2]), 0)
+    near = lambda a, c: scorer.near(s.name, a, c)
     records = [{s.anchor: [a]} for a in anchors]
     for f in s.fields:
         if f.name == s.anchor:
@@ -134,7 +160,7 @@ def anchored(s: Structure, scored: dict, texts, o: Options, per_gap: float = 0.1
                 if p[k] >= least:
                     records[k][f.name].append((min(c[0], p[k]), c[1], c[2]))
             continue
-        probs = [softmax([absent, *(near(a, c) for c in cands)]) for a in anchors]
+        probs = [softmax([scorer.nobody(s.name, a, f.name), *(near(a, c) for c in cands)]) for a in anchors]
         cost = [[-math.log(max(p, LEAST)) for p in row] for row in probs]
         dear = max(max(row[1:]) for row in cost)
         table = []
@@ -184,10 +210,16 @@ def document(text: str, tokens: list, schema: Schema, scorer: Scorer, o: Options
         got = [{"label": x, "confidence": p} for x, p in classification(scorer.labels(text, tokens, c.task, c.labels), c, o)]
         out[c.task] = got if c.multi_label else got[0]
     for s in schema.structures:
-        rows = anchored(s, scored, piece, o) if s.mode is Mode.NATURAL else record(s, scored, piece, o)
+        if s.mode is Mode.NATURAL:
+            rows = anchored(scorer, s, scored, piece, o)
+        else:
+            rows = counted_records(scorer, s, text, tokens, scored, piece, o) if o.path == "span" else record(s, scored, piece, o)
         out[s.name] = [{k: list(map(shown, v)) for k, v in r.items()} for r in rows]
-    if schema.relations:
-        made = relations(scorer, schema, found, scored, len(tokens), o)
+    if schema.relations and o.path == "span":
+        made = counted_relations(scorer, schema, text, tokens, scored, o)
+        out["relation_extraction"] = {k: [{"head": shown(h), "tail": shown(t)} for h, t in v] for k, v in made.items()}
+    elif schema.relations:
+        made = relations(scorer, schema, found, scored, tokens, o)
         side = lambda p, s: shown((p, *s))
         out["relation_extraction"] = {k: [{"head": side(p, h), "tail": side(p, t)} for p, h, t in v] for k, v in made.items()}
     return out

@@ -102,8 +102,8 @@ def span_type(confidence: bool, spans: bool, attributes: list[tuple[str, bool]]
     return T.StructType(parts)
 
 
-def result_type(schema: Schema, confidence: bool, spans: bool) -> T.StructType:
-    """The struct that extraction gives for a document."""
+def result_type(schema: Schema, confidence: bool, spans: bool, bare_pairs: bool = False) -> T.StructType:
+    """The struct that extraction gives for a document; bare_pairs: relations as [head, tail]."""
     plain = span_type(confidence, spans)
     with_attributes = span_type(confidence, spans, [(n, g.multi_label) for n, g in schema.attributes])
     parts = []
@@ -116,6 +116,6 @@ def result_type(schema: Schema, confidence: bool, spans: bool) -> T.StructType:
         fields = [T.StructField(f.name, T.ArrayType(plain) if s.mode is Mode.NATURAL or not f.effective_cardinality.scalar else plain) for f in s.fields]
         parts.append(T.StructField(s.name, T.ArrayType(T.StructType(fields))))
     if schema.relations:
-        pair = T.StructType([T.StructField("head", plain), T.StructField("tail", plain)])
+        pair = T.ArrayType(plain) if bare_pairs else T.StructType([T.StructField("head", plain), T.StructField("tail", plain)])
         parts.append(T.StructField("relation_extraction", T.StructType([T.StructField(r.name, T.ArrayType(pair)) for r in schema.relations])))
     return T.StructType(parts)
