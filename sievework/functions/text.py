@@ -52,18 +52,42 @@ def token_id(token: str, size: int = 30522) -> int:
     return out % size
 
 
+#: What the JVM's Unicode \\w takes: letters, marks, digits, connectors and joiners.
+WORD_CHAR = r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\u200c\u200d]"
+
+
+@lru_cache(maxsize=1 << 17)
+def _known(c: str) -> bool:
+    """Whether Python's own \\w and \\s class a character as the JVM's do."""
+    import re
+
+    import regex
+
+    same = lambda ours, own: bool(regex.match(ours, c)) == bool(re.match(own, c))
+    return same(WORD_CHAR, r"\w") and same(r"\S", r"\S")
+
+
 @lru_cache
-def token_pattern():
-    """The token pattern for Python: letters, marks, digits, connectors and joiners are what the JVM's Unicode \\w takes."""
+def token_pattern(link: bool = True, at: bool = True, known: bool = False):
+    """The token pattern for Python. link, at: whether the text has what a URL, or an address or mention, needs;
+    known: whether Python's own classes do for its characters."""
+    import re
+
     import regex
 
-    return regex.compile("|".join((URL, EMAIL, MENTION, WORD, r"\S")).replace(r"\w", r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\u200c\u200d]"))
+    # an address has no @ before its @: giving back what was taken cannot help
+    parts = [URL] * link + [EMAIL.replace("]+@", "]++@", 1), MENTION] * at + [WORD, r"\S"]
+    return re.compile("|".join(parts)) if known else regex.compile("|".join(parts).replace(r"\w", WORD_CHAR))
+
+
+def find_tokens(text: str):
+    """Matches of the token pattern."""
+    return token_pattern("http" in text or "www." in text, "@" in text, all(map(_known, set(text)))).finditer(text)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("tok", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
 def _token_offsets(texts: pd.Series) -> pd.Series:
-    find = token_pattern().finditer
-    return texts.map(lambda t: None if t is None else [{"tok": m[0], "start": m.start(), "end": m.end()} for m in find(t)])
+    return texts.map(lambda t: None if t is None else [{"tok": m[0], "start": m.start(), "end": m.end()} for m in find_tokens(t)])
 
 
 

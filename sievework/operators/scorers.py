@@ -91,14 +91,19 @@ class Lexical(Scorer):
     def spans(self, text, tokens, queries):
         rules = {q: [(pattern, logit) for kind, pattern, logit in self.entities if kind == q] for q in queries}
         out: dict[str, list] = {q: [] for q in queries}
-        ruled = [(q, own) for q, own in rules.items() if own]
-        for a in range(len(tokens)):
-            for b in range(a + 1, min(len(tokens), a + self.width) + 1):
-                piece = text[tokens[a][1] : tokens[b - 1][2]]
-                for q, own in ruled:
+        ruled = [(out[q].append, pattern, logit) for q, own in rules.items() for pattern, logit in own if len(own) == 1]
+        several = [(q, own) for q, own in rules.items() if len(own) > 1]
+        starts, ends = [t[1] for t in tokens], [t[2] for t in tokens]
+        for a, start in enumerate(starts):
+            for b in range(a, min(len(tokens), a + self.width)):
+                piece = text[start : ends[b]]
+                for add, pattern, logit in ruled:
+                    if (x := rule_logit(pattern, logit, piece)) is not None:
+                        add((x - self.per_token * (b - a), a, b + 1))
+                for q, own in several:
                     hits = [x for pattern, logit in own if (x := rule_logit(pattern, logit, piece)) is not None]
                     if hits:
-                        out[q].append((max(hits) - self.per_token * (b - a - 1), a, b))
+                        out[q].append((max(hits) - self.per_token * (b - a), a, b + 1))
         return out
 
     def labels(self, text, tokens, task, labels):

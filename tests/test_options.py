@@ -102,6 +102,16 @@ def test_given_logits_are_resolved_flat():
     assert [x["text"] for x in flat] == ["a b", "c d"] and [x["text"] for x in best] == ["b c"]
 
 
+def test_tokens_in_python_are_those_of_the_jvm(spark):
+    from pyspark.sql import functions as F
+
+    from sievework.functions.text import token_offsets, tokens
+
+    odd = ["a_b-c x-  y", "mail me@ex.org, or @you", "see www.x.y/z?q http://a.b c", "naïve Straße ½ ² ٣ a\u0301 b\u200dc", "x\x1cy\x85z\u2028w\u3000v", "a@b", "é@x.org .@", "ⓐⓑ Ⅷ 𝟗 ‿", "", "a" * 50 + "@"]
+    rows = spark.createDataFrame([(x,) for x in odd], "t string").select(tokens(F.col("t")).alias("jvm"), token_offsets(F.col("t")).alias("py"))
+    assert all(r.jvm == [x.tok for x in r.py] for r in rows.collect())
+
+
 def test_token_ids_agree(spark):
     from sievework.functions.text import fallback_token_id
 
