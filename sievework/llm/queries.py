@@ -60,15 +60,18 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row").alias("doc_id"), (fold_of("row", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-#: Rules of op3 and URLs listed one by one.
+#: Rules of op3.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
-LISTED_URLS = ["https://ththhe.example.com/es/30669", "http://www.therth.example.org/fr/8515/", "http://spam.example.org/fr/offers", "https://blog.ththth.example.org/fr/35999/"]
+#: Hosts whose URLs are listed one by one.
+SPAM_HOSTS = "spam|pills|casino"
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sievework.llm.url_filter import judge
+    """Listed one by one are the URLs that were found on hosts of spam: a list that grows with the pages."""
+    from sievework.llm.url_filter import host_of, judge
 
-    return judge(table(spark, sf_dir, "pages"), URL_RULES, spark.createDataFrame([(u,) for u in LISTED_URLS], "url string"))
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, URL_RULES, pages.select("url").where(host_of(F.col("url")).rlike(SPAM_HOSTS)))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 from sievework.llm import license_scan, quality, queries, sharding, url_filter
 
 SF = "/root/testdata/sf0.001"
+LISTED_URLS = ["https://ththhe.example.com/es/30669", "http://www.therth.example.org/fr/8515/", "http://spam.example.org/fr/offers", "https://blog.ththth.example.org/fr/35999/"]
 DOCS = "doc_id long, text string, lang string, source string, words string, size int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -131,7 +132,7 @@ def test_url_filter(spark):
     pages = spark.createDataFrame(odd, "page_id long, url string").unionByName(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url"))
     pages = pages.selectExpr("*", "'x' key", "1 rid", "2 block", "'h' host")
     listed = {"ththhe.example.com/es/30669", "www.therth.example.org/fr/8515", "spam.example.org/fr/offers", "blog.ththth.example.org/fr/35999"}
-    got = url_filter.judge(pages, queries.URL_RULES, spark.createDataFrame([(u,) for u in queries.LISTED_URLS], "url string"))
+    got = url_filter.judge(pages, queries.URL_RULES, spark.createDataFrame([(u,) for u in LISTED_URLS], "url string"))
     assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.collect()) == Counter((r.page_id, *url_by_hand(r.url, listed)) for r in pages.select("page_id", "url").collect())
     empty = url_filter.judge(pages, [], spark.createDataFrame([], "url string"))
     assert {r.verdict for r in empty.collect()} == {"allow"}
@@ -233,3 +234,26 @@ def test_license_lines_all_found(spark):
         for d, t in rows:
             if line in t.split("\n"):
                 assert (d, name) in found
+
+
+def test_the_registered_list_blocks_its_urls(spark):
+    """Every page of the query against rules and list by hand; the filter has many keys."""
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()
+
+    def parts(url):
+        if url is None or "://" not in url:
+            return "", ""
+        m = re.match(r"[^/?#]*", rest := url.split("://", 1)[1])
+        return m[0].lower(), re.match(r"[^?#]*", rest[m.end() :])[0]
+
+    plain = lambda h, p: (h, p.rstrip("/"))
+    listed = {plain(*parts(r.url)) for r in rows if re.search(queries.SPAM_HOSTS, parts(r.url)[0])}
+    want = {}
+    for r in rows:
+        h, p = parts(r.url)
+        fits = [(len(rh + rp), len(rh), v == "block", rh + rp, v) for v, rh, rp in queries.URL_RULES if (h == rh or h.endswith("." + rh)) and p.startswith(rp)]
+        rule = max(fits, default=None)
+        want[r.page_id] = (h, p, rule and rule[3], rule[4] if rule else "block" if plain(h, p) in listed else "allow")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in queries.op3_url_filter(spark, sf).collect()}
+    assert got == want and sum(r.listed for r in queries.op3_url_filter(spark, sf).collect()) >= 20
