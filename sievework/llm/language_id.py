@@ -7,14 +7,14 @@ words of a bounded sample of labelled documents (SAMPLE per language, chosen by
 
 Defined cases: null text and text without a letter are ``und`` with score 0, as is everything if no
 labelled document was there to learn from; repeated rows are judged each; equal probabilities go to the
-first language in alphabetical order; texts are scored whole (a stretch without white space in parts of
-STRETCH characters); other columns are ignored or passed through.
+first language in alphabetical order; texts are scored whole, and a run of any length without white space
+over all its segmentations; an empty table gives no rows; other columns are ignored or passed through.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -23,11 +23,15 @@ from pyspark.sql import types as T
 
 from sievework.llm.common import fold_of, received, send, slices, text_bytes
 
-#: Labelled documents per language that the model is fitted on, and words of them that are used (the most frequent).
-SAMPLE, WORDS = 200, 40_000
+#: Bounds of the labelled sample that the model is fitted on: documents of a language, words of it (the most frequent), languages (those with most documents).
+SAMPLE, WORDS, LANGUAGES = 200, 40_000, 10_000
 ROUNDS = 4
-#: Longest piece and longest stretch of characters that are looked at together.
-LONGEST, STRETCH = 12, 48
+#: Characters of a word, with its mark, that lattices of many words hold. Fitting cuts longer words; scoring takes them one by one, whole.
+STRETCH = 48
+#: Likelihoods below this are computed again with scaling.
+FAINT = 1e-250
+#: Of a text in no learned language: the likelihood of a character, as log10, is less than this.
+FOREIGN = -4.0
 UNKNOWN = 0
 REMEMBERED = 400_000
 
@@ -38,7 +42,7 @@ def vocabulary(path: str) -> list[str]:
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     skip = lambda i: m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i)
-    return ["", *sorted({p for i in range(m.vocab_size()) if not skip(i) and len(p := m.id_to_piece(i)) <= LONGEST})]
+    return ["", *sorted({p for i in range(m.vocab_size()) if not skip(i) and (p := m.id_to_piece(i))})]
 
 
 def stretches(word: str) -> list[str]:
@@ -108,6 +112,27 @@ class Lattices:
         return uses
 
 
+def log_likelihood(word: str, number: dict[str, int], p):
+    """The natural log of a marked word's probability in each language (rows of p), by a scaled forward pass."""
+    longest = max(map(len, number), default=1)
+    ahead = [np.zeros(len(p)) for _ in range(longest)]  # of the places after this one, in units of the scale
+    now, log = np.ones(len(p)), np.zeros(len(p))
+    for a in range(len(word)):
+        piece = number.get(word[a])
+        ahead[0] = ahead[0] + now * p[:, piece or UNKNOWN]
+        for b in range(a + 2, min(len(word), a + longest) + 1):
+            if piece is None:
+                break
+            piece = number.get(word[a:b])
+            if piece:
+                ahead[b - a - 1] = ahead[b - a - 1] + now * p[:, piece]
+        now = ahead.pop(0)
+        ahead.append(np.zeros(len(p)))
+        scale = np.maximum(now, 1e-300)
+        log, now, ahead = log + np.log(scale), now / scale, [x / scale for x in ahead]
+    return log
+
+
 def fit_pieces(counts: dict[str, dict[str, int]], pieces: list[str]):
     """(languages, matrix of piece probabilities) from word counts of each language."""
     number = numbered(pieces)
@@ -131,7 +156,7 @@ def fit_pieces(counts: dict[str, dict[str, int]], pieces: list[str]):
 def sample(docs: DataFrame, size: int) -> DataFrame:
     """About the ``size`` documents of each language with the smallest hashes of their ids."""
     counts = docs.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), F.lit(4.0 * size) / F.col("count")))
-    near = docs.withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(counts.where("count > 0").orderBy(F.desc("count"), "lang").limit(10_000)), "lang")
+    near = docs.withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(counts.where("count > 0").orderBy(F.desc("count"), "lang").limit(LANGUAGES)), "lang")
     near = near.where(F.shiftrightunsigned("h", 11) / float(1 << 53) <= F.col("share"))
     at = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     return near.withColumn("at", at).where(F.col("at") <= size).select("lang", "text")
@@ -159,6 +184,20 @@ def learn(labelled: DataFrame, vocabulary_path: str, size: int = SAMPLE, words:
     return (*fit_pieces({k: dict(sorted(v.items())) for k, v in counts.items()}, pieces := vocabulary(vocabulary_path)), pieces)
 
 
+def word_logs(words: list[str], number: dict[str, int], probabilities):
+    """Natural logs of the probabilities of words, (words, languages)."""
+    marked = ["\u2581" + w for w in words]
+    out = np.full((len(words), len(probabilities)), -np.inf)
+    short = [i for i, w in enumerate(marked) if len(w) <= STRETCH]
+    if short:
+        lattice = Lattices([marked[i] for i in short], number)
+        with np.errstate(divide="ignore"):
+            out[short] = np.log(np.stack([np.where((x := lattice.likelihood(p)) < FAINT, 0, x) for p in probabilities], axis=1))
+    for i in np.flatnonzero(~np.isfinite(out).all(axis=1)):
+        out[i] = log_likelihood(marked[i], number, probabilities)
+    return out
+
+
 def predict_rows(model):
     def run(batches):
         import pyarrow as pa
@@ -170,7 +209,7 @@ def predict_rows(model):
         index: dict = {}
         for batch in slices(batches):
             if not index or len(index) > REMEMBERED:
-                index, known, logs = defaultdict(count().__next__), 0, np.zeros((0, len(languages)))
+                index, known, logs, sizes = defaultdict(count().__next__), 0, np.zeros((0, len(languages))), np.zeros(0)
             codes, lettered = [], []
             for t in batch.column(1):
                 raw = t.as_buffer().to_pybytes()
@@ -178,37 +217,44 @@ def predict_rows(model):
                 codes.append(np.fromiter(map(index.__getitem__, w), dtype=np.int64, count=len(w)))
                 lettered.append(letter.search(raw.decode()) is not None)
             if len(index) > known and languages:
-                new = list(index)[known:]
-                for a in range(0, len(new), 20_000):
-                    cut_ = [stretches(w.decode()) for w in new[a : a + 20_000]]
-                    owner = np.repeat(np.arange(len(cut_)), [len(x) for x in cut_])
-                    lattice = Lattices([s for x in cut_ for s in x], number)
-                    got = np.stack([np.bincount(owner, np.log(np.maximum(lattice.likelihood(p), 1e-290)), len(cut_)) for p in probabilities], axis=1)
-                    logs = np.concatenate([logs, got])
+                new = [w.decode() for w in islice(index, known, None)]
+                got = [word_logs(new[a : a + 20_000], number, probabilities) for a in range(0, len(new), 20_000)]
+                logs = np.concatenate([logs, *got])
+                sizes = np.concatenate([sizes, np.fromiter(map(len, new), dtype=float, count=len(new))])
                 known = len(index)
-            names, scores = [], []
+            names, scores, likely = [], [], []
             for c, ok in zip(codes, lettered):
                 if not ok or not languages:
-                    names.append("und"), scores.append(0.0)
+                    names.append("und"), scores.append(0.0), likely.append(None)
                     continue
                 total = logs[c].sum(axis=0)
                 best = int(np.argmax(total))
                 names.append(languages[best])
                 scores.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
+                likely.append(float(total[best] / (sizes[c].sum() + len(c)) / np.log(10)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(likely, pa.float64())], names=["row", "lang_pred", "score", "likelihood"])
 
     return run
 
 
 def predict(rows: DataFrame, model) -> DataFrame:
-    """(row, lang_pred, score) for a table of (row, text as bytes); ``row`` is any column carried along."""
+    """(row, lang_pred, score, likelihood) for a table of (row, text as bytes); ``row`` is any column carried along.
+
+    likelihood: log10 of the probability of a character (or word end) in that language, on the mean; null for ``und``.
+    """
     shared = send(rows.sparkSession, model)
-    out = T.StructType([T.StructField("row", rows.schema[0].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = T.StructType([T.StructField("row", rows.schema[0].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("likelihood", T.DoubleType())])
     return rows.toDF("row", "t").mapInArrow(predict_rows(shared), out)
 
 
-def in_known_language(docs: DataFrame, vocabulary_path: str, fold: int = 3, held: int = 1) -> DataFrame:
-    """docs without those in no learned language; the columns stay as they are. Held-out documents are not learned from."""
+def in_known_language(docs: DataFrame, vocabulary_path: str, fold: int = 3, held: int = 1, least: float = FOREIGN) -> DataFrame:
+    """docs without those that have no letter or are in no learned language; the columns stay as they are.
+
+    A text is in none if its likelihood in the likeliest is below ``least``. Held-out documents are not learned
+    from. If there is nothing to learn from, all documents with a letter stay.
+    """
     model = learn(docs.where(fold_of("doc_id", fold) != held), vocabulary_path)
-    found = predict(docs.select(F.struct(*docs.columns), text_bytes()), model)
-    return found.where("lang_pred <> 'und'").select("row.*")
+    if not model[0]:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), text_bytes()), model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("likelihood") >= least)).select("row.*")

@@ -54,6 +54,8 @@ def test_context_mixing(docs, rows):
         want[i, fold(i, 7) == 2, len(w) + 1, sum(k in c for k in w) + 1, n, round(base, 5)] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
     assert all(r.score < 0 for r in got)
+    sizes = Counter((i, len(x.encode())) for i, x in rows)
+    assert Counter((r.doc_id, round(-r.score / math.log10(2) / r.bits_per_byte) if r.bits_per_byte is not None else 0) for r in got) == sizes
     assert all(len({round(r.score, 6) for r in got if r.doc_id == i}) == 1 for i in (10**6 + 4,))
     assert context_mixing.scores(docs.limit(0)).count() == 0
 
@@ -148,6 +150,33 @@ def test_segmentations_are_summed():
     assert abs(uses[4] - 0.1 * 0.15 / total) < 1e-12 and abs(uses[3] - (0.1 * 0.2 * 0.3 + 0.25 * 0.3) / total) < 1e-12
 
 
+def test_long_and_unlikely_words_are_scored_whole():
+    pieces = ["", "\u2581", "a", "b", "ab", "ba", "\u2581a", "aab"]
+    number = language_id.numbered(pieces)
+    p = np.array([[1e-7, 0.1, 0.2, 0.3, 0.15, 0.05, 0.1, 0.1], [1e-9, 0.2, 0.1, 0.1, 0.1, 0.2, 0.2, 0.1]])
+    words_ = ["ab", "aabba", "ab" * 30, "xyz" * 15, "é" * 400, "ba" * 23 + "q"]
+    got = language_id.word_logs(words_, number, p)
+    for w, row in zip(words_, got):
+        t = "\u2581" + w
+        for lang in range(2):  # logs of sums, by hand
+            alpha = [0.0] + [-math.inf] * len(t)
+            for e in range(1, len(t) + 1):
+                ways = [alpha[a] + math.log(p[lang][number[t[a:e]]]) for a in range(max(0, e - 3), e) if number.get(t[a:e])]
+                if not number.get(t[e - 1 : e]):
+                    ways.append(alpha[e - 1] + math.log(p[lang][0]))
+                top = max(ways)
+                alpha[e] = top + math.log(sum(math.exp(x - top) for x in ways))
+            assert abs(row[lang] - alpha[-1]) < 1e-6 * abs(alpha[-1])
+
+
+def test_foreign_texts_go_and_unlearned_corpora_stay(spark):
+    path = queries.tokenizer("piece_bpe_32k.model")
+    rows_ = [(i, "the cat and the dog went out to the old house on the hill " * 3, "en") for i in range(12)] + [(100, "\u1401\u1403\u1405\u14c3\u1450" * 40, None), (101, "1 2 3", None)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language_id.in_known_language(docs, path).collect()} == set(range(12))
+    assert {r.doc_id for r in language_id.in_known_language(docs.selectExpr("doc_id", "text", "cast(null as string) lang"), path).collect()} == {*range(12), 100}
+
+
 def test_language_id(spark, docs):
     path = queries.tokenizer("piece_bpe_32k.model")
     model = language_id.learn(docs.where(language_id.fold_of("doc_id", 3) != 1), path)
