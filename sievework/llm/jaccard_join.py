@@ -43,8 +43,8 @@ REMEMBERED = 400_000
 COMBINED, DIGESTS, RANKED = 1_000_000, 500_000, 1 << 16
 #: Sets with one signature: in one task, from which they are combined; in all, up to which sketches are compared.
 MANY, GROUP = 512, 16384
-#: Bits of a sketch: at least, and at most; between them it has about as many as the set has n-grams.
-SKETCH = 512, 1 << 16
+#: Bits of a sketch: at least, and at most; between them it has about five for each n-gram that linked sets may lack.
+SKETCH = 256, 1 << 16
 SETS = "doc_id long, n_shingles long, text_hash long, digest binary, sketch binary, keys binary"
 
 
@@ -130,10 +130,10 @@ def signatures(grams, sizes: Sizes):
     return np.concatenate(out)
 
 
-def sketch_of(grams) -> bytes:
+def sketch_of(grams, t: Fraction) -> bytes:
     """For each of some places the parity of the n-grams there; sets differ in at least as many n-grams as their sketches in places."""
     bits = SKETCH[0]
-    while bits < min(len(grams), SKETCH[1]):
+    while bits < min(5 * len(grams) * (1 - t), SKETCH[1]):
         bits *= 2
     odd = np.bincount((grams >> np.uint64(7)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
@@ -249,7 +249,7 @@ def set_rows(n: int, threshold: Fraction, lower: bool):
         for g in sets:
             ns.append(len(g))
             digests.append(digest_of(g))
-            sketches.append(sketch_of(g) if len(g) else None)
+            sketches.append(sketch_of(g, threshold) if len(g) else None)
             keys.append(signatures(g, sizes).tobytes() if len(g) else b"")
             if len(ns) == parts[-1].num_rows:
                 yield pa.RecordBatch.from_arrays([parts[-1].column(0), pa.array(ns, pa.int64()), parts[-1].column(1), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(keys, pa.binary())], names=[x.split()[0] for x in SETS.split(", ")])

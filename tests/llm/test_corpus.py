@@ -357,7 +357,7 @@ def test_linked_against_brute_force():
         sets = [np.array(sorted(s), dtype=np.uint64) for s in made]
         sizes = jaccard_join.Sizes(t)
         keys = [set(jaccard_join.signatures(s, sizes).tolist()) for s in sets]
-        sketches = [jaccard_join.sketch_of(s) for s in sets]
+        sketches = [jaccard_join.sketch_of(s, t) for s in sets]
         brute, fast = list(range(len(sets))), list(range(len(sets)))
 
         def find(up, i):
