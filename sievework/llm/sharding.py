@@ -66,7 +66,11 @@ def shard_of(key: Column, weights: list[float]) -> Column:
 
 
 def assign(docs: DataFrame, shards: int = 40, weights: list[float] | None = None) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
+
+    The law ``key`` holds as written where the next shard opens a region, that is at counts divisible by ten
+    (40, say). At others the next shard joins a region, and rows move between shards of that region as well.
+    """
     weights = weights or [1.0] * shards
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = cut(

@@ -60,6 +60,14 @@ def test_context_mixing(docs, rows):
     assert context_mixing.scores(docs.limit(0)).count() == 0
 
 
+def test_words_that_are_not_broadcast_are_told_in_training_and_held_out_texts(docs, rows, monkeypatch):
+    every = {r.doc_id: (r.n_known, r.base_score) for r in context_mixing.scores(docs).collect()}
+    monkeypatch.setattr(context_mixing, "HOT", 4)
+    got = context_mixing.scores(docs).collect()
+    assert len(got) == len(rows) and all(-math.inf < r.score < 0 for r in got)
+    assert all(r.n_known == every[r.doc_id][0] and abs(r.base_score - every[r.doc_id][1]) < 1e-6 for r in got if list(i for i, _ in rows).count(r.doc_id) == 1)
+
+
 def test_context_mixing_beats_unigrams_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) < 1200")
     got = [r for r in context_mixing.scores(docs).collect() if r.held_out]
