@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.errors import ValidationError
-from sievework.functions.text import find_tokens, word_pattern
+from sievework.functions.text import find_tokens, lowered, word_pattern
 from sievework.operators import chunking, decode
 from sievework.operators.scorers import Lexical, Scorer
 from sievework.plans.prompts import result_type
@@ -22,7 +22,8 @@ from sievework.schema import Classification, Mode, Schema, SchemaBuilder
 
 
 def tokenise(text: str) -> list[tuple[str, int, int]]:
-    return [(m[0], m.start(), m.end()) for m in find_tokens(text.lower())]
+    """Lower-case tokens with offsets that hold in the text itself."""
+    return [(m[0], m.start(), m.end()) for m in find_tokens(lowered(text))]
 
 
 class Extractor:

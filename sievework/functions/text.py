@@ -17,6 +17,11 @@ WORD = r"\w+(?:[-_]\w+)*"
 TOKEN = f"(?U){URL}|{EMAIL}|{MENTION}|{WORD}|\\S"
 
 
+def lower(text: Column) -> Column:
+    """The text in lower case with one character for each, as ``lowered`` gives it."""
+    return F.lower(F.translate(text, "\u0130", "i"))
+
+
 def tokens(text: Column, lower: bool = True, max_len: int | None = None) -> Column:
     """array<string> of the tokens of a text; lower-cased before it is split."""
     out = F.regexp_extract_all(F.lower(text) if lower else text, F.lit(TOKEN), F.lit(0))
@@ -80,6 +85,12 @@ def token_pattern(link: bool = True, at: bool = True, known: bool = False):
     return re.compile("|".join(parts)) if known else regex.compile("|".join(parts).replace(r"\w", WORD_CHAR))
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, of the same length: a character with a longer lower-case form becomes the first of it."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
+
+
 def find_tokens(text: str):
     """Matches of the token pattern."""
     return token_pattern("http" in text or "www." in text, "@" in text, all(map(_known, set(text)))).finditer(text)
