@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,14 +19,14 @@ WORD = r"\w+(?:[-_]\w+)*"
 TOKEN = f"(?U){URL}|{EMAIL}|{MENTION}|{WORD}|\\S"
 
 
-def lower(text: Column) -> Column:
+def lower_case(text: Column) -> Column:
     """The text in lower case with one character for each, as ``lowered`` gives it."""
     return F.lower(F.translate(text, "\u0130", "i"))
 
 
 def tokens(text: Column, lower: bool = True, max_len: int | None = None) -> Column:
     """array<string> of the tokens of a text; lower-cased before it is split."""
-    out = F.regexp_extract_all(F.lower(text) if lower else text, F.lit(TOKEN), F.lit(0))
+    out = F.regexp_extract_all(lower_case(text) if lower else text, F.lit(TOKEN), F.lit(0))
     return out if max_len is None else F.slice(out, 1, max_len)
 
 
@@ -38,7 +40,7 @@ def word_count(text: Column) -> Column:
 
 def token_offsets(text: Column, lower: bool = True) -> Column:
     """array<struct<tok,start,end>>: tokens with half-open offsets. Linear in the text, in one Arrow batch call."""
-    return _token_offsets(F.lower(text) if lower else text)
+    return _token_offsets(lower_case(text) if lower else text)
 
 
 @lru_cache
@@ -96,11 +98,60 @@ def find_tokens(text: str):
     return token_pattern("http" in text or "www." in text, "@" in text, all(map(_known, set(text)))).finditer(text)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("tok", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def _token_offsets(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else [{"tok": m[0], "start": m.start(), "end": m.end()} for m in find_tokens(t)])
-
-
+#: Rows of which tokens are held at once, whatever Spark's batch size.
+HELD = 100
+
+
+def offsets_in(texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(texts, their tokens with offsets) of a few texts at a time."""
+    for a in range(0, len(texts), HELD):
+        some, toks, starts, ends, first = texts[a : a + HELD], [], [], [], []
+        for text in some.to_pylist():
+            first.append(None if text is None else len(toks))
+            for m in find_tokens(text or ""):
+                toks.append(m[0])
+                starts.append(m.start())
+                ends.append(m.end())
+        rows = pa.StructArray.from_arrays([pa.array(toks, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["tok", "start", "end"])
+        yield some, pa.ListArray.from_arrays(pa.array([*first, len(toks)], pa.int32()), rows)
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("tok", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def _token_offsets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for _, rows in offsets_in(batch):
+            yield rows
+
+
+def misplaced(texts: list, rows: pa.Array) -> list[int]:
+    """How many tokens of each text are not where their offsets say."""
+    at, flat, out = rows.offsets.to_pylist(), rows.values, []
+    toks, starts, ends = (flat.field(k) for k in range(3))
+    short = (pc.utf8_length(toks).to_numpy() != ends.to_numpy() - starts.to_numpy()).cumsum()
+    short, starts, ends = [0, *short.tolist()], starts.to_pylist(), ends.to_pylist()
+    edges, data = toks.buffers()[1], toks.buffers()[2]
+    edges = memoryview(edges).cast("i") if len(toks) else [0]
+    data = memoryview(data or b"")
+    for text, a, b in zip(texts, at, at[1:]):
+        places = list(map(slice, starts[a:b], ends[a:b]))
+        # lengths that agree, and equal texts laid end to end: every token is equal
+        right = short[a] == short[b] and (a == b or "".join(map(text.__getitem__, places)).encode() == data[edges[a] : edges[b]])
+        out.append(0 if right else sum(text[p] != x for p, x in zip(places, toks[a:b].to_pylist())))
+    return out
+
+
+def offset_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(first column, n_tokens, covered, wrong) from (any, lower-case text): tokens, their characters by the offsets, and how many are misplaced."""
+    for batch in batches:
+        done = 0
+        for some, rows in offsets_in(batch.column(1)):
+            lengths = pc.list_value_length(rows)
+            chars = [0, *pc.subtract(rows.values.field(2), rows.values.field(1)).to_numpy().cumsum(dtype="int64").tolist()]
+            at = rows.offsets.to_pylist()
+            covered = [chars[b] - chars[a] if b > a else None for a, b in zip(at, at[1:])]
+            own = batch.column(0)[done : done + len(some)]
+            done += len(some)
+            yield pa.RecordBatch.from_arrays([own, lengths, pa.array(covered, pa.int64()), pa.array(misplaced(some.to_pylist(), rows), pa.int64())], names=[batch.schema.names[0], "n_tokens", "covered", "wrong"])
 
 
 def char_to_token(toks: Column, at: Column) -> Column:

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +223,24 @@ def test_heads_shapes():
     logits = heads.candidate_logits(heads.pooled(x, s, e), q, np.zeros((3, 2)), start, start, inside, s, e)
     assert np.allclose(logits[1, 1], q[1] @ heads.pooled(x, s, e)[1] / np.sqrt(8) + start[1, 1] + start[1, 5] + inside[1, 1:5].sum() / 2)
     assert heads.gather(x, [0, None, 9]).tolist()[1:] == [[0.0] * 8] * 2
+
+
+def test_offsets_are_made_and_checked_a_few_texts_at_a_time():
+    texts = pa.array([None, "", *["a b@c.de F"] * 250])
+    made = list(t._token_offsets.func(iter([texts])))
+    assert max(map(len, made)) == t.HELD and sum(map(len, made)) == len(texts)
+    rows = [row for part in made for row in part.to_pylist()]
+    assert rows[:2] == [None, []] and rows[2] == rows[-1] == [{"tok": "a", "start": 0, "end": 1}, {"tok": "b@c.de", "start": 2, "end": 8}, {"tok": "F", "start": 9, "end": 10}]
+    reports = list(t.offset_rows(iter([pa.record_batch([pa.array(range(len(texts))), texts], names=["id", "low"])])))
+    assert max(r.num_rows for r in reports) == t.HELD
+    seen = [x for r in reports for x in r.to_pylist()]
+    assert [x["id"] for x in seen] == list(range(len(texts))) and not any(x["wrong"] for x in seen)
+    assert [(x["n_tokens"], x["covered"]) for x in seen[:3]] == [(None, None), (0, None), (3, 8)]
+
+
+def test_misplaced_tokens_are_counted():
+    some, rows = next(t.offsets_in(pa.array(["ab cd é", None, "x yz"])))
+    assert t.misplaced(some.to_pylist(), rows) == [0, 0, 0]
+    assert t.misplaced(["ab ce é", None, "x y "], rows) == [1, 0, 1]
+    longer = pa.StructArray.from_arrays([rows.values.field(0), rows.values.field(1), pa.array([2, 5, 7, 1, 3], pa.int32())], names=["tok", "start", "end"])
+    assert t.misplaced(some.to_pylist(), pa.ListArray.from_arrays(rows.offsets, longer)) == [0, 0, 1]
