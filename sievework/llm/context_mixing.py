@@ -8,11 +8,12 @@ A text is its words (A-Z lower-cased) and one end. Each token is coded as bits:
   for each pair of first bytes that other training tokens have, so these are told from context too. Three predictors give each bit a probability: no context, the last of the most frequent
   words, and the token before, the latter two in hashed tables. Their log odds are added
   with weights from a set gated by how much the predictors have seen. The weights start
-  from values fitted on a sample of the training texts (each bit left out of the counts that predict it) and
+  from values fitted on all training texts (each bit left out of the counts that predict it): a few texts tell
+  where Newton's method begins, one step of it takes sums over all of them. They
   are refined within each text, after every few tokens, by gradient descent on the coding cost;
 * after an escape, a known token has its share of the remaining training tokens that begin alike; a new one
-  is spelled (given how it begins), its bytes' bits predicted from one to three bytes of context in hashed tables, mixed with gated weights that are fitted on a
-  sample of the words seen once in training and not refined.
+  is spelled (given how it begins), its bytes' bits predicted from one to three bytes of context in hashed tables, mixed with gated weights that are fitted likewise on
+  all words seen once in training and not refined.
 
 How many words are coded, how many are contexts and how many slots the tables have grows with the square
 root of the number of training tokens, without an end (class Words); the constants are the least sizes.
@@ -49,11 +50,13 @@ SLOT_BITS, SPELL_BITS = 20, 18
 SLOTS = 1 << SLOT_BITS
 #: Tokens after which a text's weights are refined: in its first FRESH tokens, and later; and the rate.
 BLOCK, FRESH, LATER, RATE = 16, 256, 64, 0.3
-#: Training texts, their first bytes, and training words that starting weights are fitted on.
+#: Training texts, their first bytes, and training words from which fitting begins, before its step over all of them.
 FIT_TEXTS, FIT_BYTES, FIT_WORDS = 200, 4096, 4000
 #: What a context predictor's weight is drawn to in fitting, by how often it was used: never, under 4, under 32, more.
 TRUST = np.array([0.0, 0.2, 0.4, 0.55])
 SLICES = 64
+#: Different pairs of context and symbol that a task gathers, and of which it counts the bits at once; bytes of texts and of words that are fitted at once.
+GATHERED, COUNTED, FITTED, FITTED_WORDS = 1_000_000, 50_000, 300_000, 60_000
 #: Tokens and texts worked on at once.
 TOKENS, TEXTS = 400_000, 256
 PARTS = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, word binary, n long, coded long, share double, spelled double"
@@ -231,7 +234,9 @@ def bit_rows(shared):
         words = received(shared)
         size, some, slots = words.escape + len(words.begins) + 1, False, 1 << words.slot_bits
         kinds = np.concatenate([words.kinds_of_words, np.arange(len(words.begins) + 1)])
-        tables = {"none": np.zeros(2 * words.code.nodes, dtype=np.int64), "last": np.zeros(2 * slots, dtype=np.int64), "before": np.zeros(2 * slots, dtype=np.int64)}
+        # no count of a task passes 2^31: a token adds at most the bits of its code, and tables are given out in time
+        tables = {"none": np.zeros(2 * words.code.nodes, dtype=np.int32), "last": np.zeros(2 * slots, dtype=np.int32), "before": np.zeros(2 * slots, dtype=np.int32)}
+        held, most = 0, (2**31 - 1) // max(int(words.code.length.max(initial=1)), 1)
 
         number = by_begin(words)
         seen: dict = {"last": [], "before": []}
@@ -241,31 +246,39 @@ def bit_rows(shared):
             if not seen[name]:
                 return
             pairs, which = np.unique(np.concatenate([k for k, _ in seen[name]]), return_inverse=True)
-            times = np.bincount(which, np.concatenate([n for _, n in seen[name]])).astype(np.int64)
+            times = np.bincount(which, np.concatenate([n for _, n in seen[name]])).astype(np.int32)
             seen[name].clear()
-            for a in range(0, len(pairs), 100_000):
-                at, n = pairs[a : a + 100_000], times[a : a + 100_000]
+            for a in range(0, len(pairs), COUNTED):
+                at, n = pairs[a : a + COUNTED], times[a : a + COUNTED]
                 who, node, bit = words.code.bits(at % size)
                 slot = hashed((at // size + 1000 * (name == "before"))[who], node, words.slot_bits)
                 np.add.at(tables[name], 2 * slot + bit, n[who])
                 if name == "last":
                     np.add.at(tables["none"], 2 * node + bit, n[who])
 
-        for batch in batches:
+        def given_out():
+            for name in seen:
+                add(name)
+            return sliced_batch([r for name, t in tables.items() for r in sliced(name, t)])
+
+        for batch in slices(batches):
             texts = [t.as_buffer().to_pybytes() for t in batch.column(0)]
             for run_ in in_parts(texts):
-                some = True
                 codes, first, _ = tokenised([texts[i] for i in run_], number)
+                if some and held + len(codes) > most:
+                    yield given_out()
+                    held = 0
+                    for t in tables.values():
+                        t[:] = 0
+                some, held = True, held + len(codes)
                 last, before = contexts(codes, first, words)
                 symbols = words.symbols(codes, kinds)
                 for name, context in (("last", last), ("before", before)):
                     seen[name].append(np.unique(context * size + symbols, return_counts=True))
-                    if sum(len(k) for k, _ in seen[name]) > 2_000_000:
+                    if sum(len(k) for k, _ in seen[name]) > GATHERED:
                         add(name)
-        for name in seen:
-            add(name)
         if some:
-            yield sliced_batch([r for name, t in tables.items() for r in sliced(name, t)])
+            yield given_out()
 
     return run
 
@@ -314,10 +327,12 @@ def added(key, table):
 
 def predictor(table, strength: float):
     """(log odds of a one, trust class) of each slot of a table of bit counts."""
-    zero, one = table[0::2].astype(float), table[1::2].astype(float)
-    n = zero + one
-    odds = np.log((one + strength) / (zero + strength))
-    return odds.astype(np.float32), np.digitize(n, [1, 4, 32]).astype(np.int8)
+    odds, trust = np.empty(len(table) // 2, dtype=np.float32), np.empty(len(table) // 2, dtype=np.int8)
+    for a in range(0, len(odds), 1 << 18):
+        zero, one = (table[2 * a + k : 2 * (a + (1 << 18)) : 2].astype(float) for k in (0, 1))
+        odds[a : a + (1 << 18)] = np.log((one + strength) / (zero + strength))
+        trust[a : a + (1 << 18)] = np.digitize(zero + one, [1, 4, 32])
+    return odds, trust
 
 
 def left_out(table, slot, bit, strength: float):
@@ -347,18 +362,111 @@ def gated(start, gate, inputs, bit, pull: float = 20.0, rounds: int = 8):
     return out
 
 
+def left_out_fast(table, slot, bit, strength: float):
+    """left_out() in single precision."""
+    pairs = table.reshape(-1, 2)[slot]
+    zero, one = np.maximum(pairs[:, 0] - (bit == 0), 0).astype(np.float32), np.maximum(pairs[:, 1] - (bit == 1), 0).astype(np.float32)
+    n = zero + one
+    return np.log((one + np.float32(strength)) / (zero + np.float32(strength))), (n >= 1).view(np.int8) + (n >= 4).view(np.int8) + (n >= 32).view(np.int8)
+
+
+def slopes(weights, gate, inputs, bit):
+    """For each gate the gradient of the log likelihood of the bits, and the curvature, in one array."""
+    k = weights.shape[1]
+    out = np.zeros((16, k, k + 1))
+    order = np.argsort(gate, kind="stable")
+    x, bit = np.stack(inputs, axis=1)[order], bit[order]
+    ends = np.cumsum(np.bincount(gate, minlength=16))
+    for g, (a, b) in enumerate(zip([0, *ends[:-1]], ends)):
+        if a < b:
+            own = x[a:b]
+            p = 1 / (1 + np.exp(-np.clip(own @ weights[g].astype(np.float32), -60, 60)))
+            out[g, :, 0] = own.T @ (bit[a:b] - p)
+            out[g, :, 1:] = (own * (p * (1 - p))[:, None]).T @ own
+    return out
+
+
+def stepped(weights, start, sums, pull: float = 20.0):
+    """weights after one step of Newton's method on all bits, of which ``sums`` has the slopes; ``start`` as in gated()."""
+    out = weights.astype(float).copy()
+    for g in range(16):
+        step = np.linalg.solve(sums[g, :, 1:] + pull * np.eye(out.shape[1]), sums[g, :, 0] - pull * (out[g] - start[g]))
+        out[g] += step / max(1.0, np.abs(step).max())
+    return out
+
+
+def summed(rows, k: int):
+    return sum((np.frombuffer(bytes(r.sums)).reshape(16, k, k + 1) for r in rows), np.zeros((16, k, k + 1)))
+
+
+def sums_batch(total):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+
+def fit_rows(shared):
+    """Slopes of the weights of tokens over the training texts of a task."""
+
+    def run(batches):
+        words, tables, weights = received(shared)
+        kinds, number, total = np.concatenate([words.kinds_of_words, np.arange(len(words.begins) + 1)]), by_begin(words), 0
+        for batch in slices(batches):
+            texts = [t.as_buffer().to_pybytes() for t in batch.column(0)]
+            for run_ in in_parts(texts, FITTED):
+                codes, first, _ = tokenised([texts[i] for i in run_], number)
+                every = np.flatnonzero(~repeats(codes, first)[1])
+                contexts_, symbols = contexts(codes, first, words), words.symbols(codes, kinds)
+                for a in range(0, len(every), FITTED // 4):
+                    ask = every[a : a + FITTED // 4]
+                    who, node, bit = words.code.bits(symbols[ask])
+                    last, before = (c[ask][who] for c in contexts_)
+                    none, _ = left_out_fast(tables["none"], node, bit, 0.4)
+                    of_last, seen1 = left_out_fast(tables["last"], hashed(last, node, words.slot_bits), bit, 0.05)
+                    of_before, seen2 = left_out_fast(tables["before"], hashed(before + 1000, node, words.slot_bits), bit, 0.05)
+                    total = total + slopes(weights, 4 * seen1 + seen2, (none, of_last, of_before, np.full(len(bit), 0.3, dtype=np.float32)), bit)
+        if isinstance(total, np.ndarray):
+            yield sums_batch(total)
+
+    return run
+
+
+def fit_spelling_rows(shared):
+    """Slopes of the weights of spelling over the words of a task."""
+
+    def run(batches):
+        tables, weights = received(shared)
+        total = 0
+        for batch in slices(batches):
+            words = [w.as_buffer().to_pybytes() for w in batch.column(0)]
+            for run_ in in_parts(words, FITTED_WORDS):
+                _, slots, bit = spelling([words[i] for i in run_])
+                (o1, _), (o2, seen2), (o3, seen3) = (left_out_fast(t, slot, bit, 0.2) for t, slot in zip(tables, slots))
+                total = total + slopes(weights, 4 * seen2 + seen3, (o1, o2, o3), bit)
+        if isinstance(total, np.ndarray):
+            yield sums_batch(total)
+
+    return run
+
+
+def starting():
+    """Weights to which fitted ones are drawn."""
+    w = np.zeros((16, 4))
+    for a in range(4):
+        for b in range(4):
+            w[4 * a + b] = max(0.1, 1 - TRUST[a] - TRUST[b]), TRUST[a], TRUST[b], 0.0
+    return w
+
+
 class Model:
-    def __init__(self, words: Words, tables: dict, texts: list[bytes] = (), spellings: list[bytes] = ()):
-        """texts and spellings: training texts and words that the starting weights are fitted on."""
+    def __init__(self, words: Words, tables: dict, texts: list[bytes] = (), spellings: list[bytes] = (), weights=None, spell_weights=None):
+        """texts and spellings: training texts and words that the starting weights are fitted on, where these are not given."""
         self.words = words
         self.none = predictor(tables["none"], 0.4)
         self.last, self.before = predictor(tables["last"], 0.05), predictor(tables["before"], 0.05)
         self.spell = [predictor(tables[f"spell{k}"], 0.2) for k in range(3)]
-        w = np.zeros((16, 4))
-        for a in range(4):
-            for b in range(4):
-                w[4 * a + b] = max(0.1, 1 - TRUST[a] - TRUST[b]), TRUST[a], TRUST[b], 0.0
-        self.weights, self.spell_weights = w, w[:, :3]
+        w = starting()
+        self.weights, self.spell_weights = w if weights is None else weights, w[:, :3] if spell_weights is None else spell_weights
         if texts:
             codes, first, _ = tokenised(texts, by_begin(words))
             ask = ~repeats(codes, first)[1]
@@ -524,6 +632,23 @@ def frequent(vocab: DataFrame, most: int) -> list:
     return sorted(most_frequent(vocab, most).collect(), key=lambda r: (-r.n, bytes(r.word)))
 
 
+def fitted_model(words: Words, tables: dict, training: DataFrame, vocab: DataFrame) -> Model:
+    """The model with weights that one Newton step over all training texts, and over all words seen once, has fitted."""
+    spark, once = training.sparkSession, vocab.where("n = 1").select("word")
+    some = [bytes(x.t) for x in training.select(F.substring("t", 1, FIT_BYTES).alias("t"), F.xxhash64("t").alias("h")).orderBy("h", "t").limit(FIT_TEXTS).collect()]
+    few = [bytes(x.word) for x in once.where("length(word) < 100").orderBy(F.xxhash64("word"), "word").limit(FIT_WORDS).collect()]
+    begun = Model(words, tables, some, few)
+    weights, spell_weights = begun.weights, begun.spell_weights
+    del begun
+    shared = send(spark, (words, {k: tables[k] for k in ("none", "last", "before")}, weights))
+    weights = stepped(weights, starting(), summed(training.mapInArrow(fit_rows(shared), "sums binary").collect(), 4))
+    shared.destroy()
+    shared = send(spark, ([tables[f"spell{k}"] for k in range(3)], spell_weights))
+    spell_weights = stepped(spell_weights, starting()[:, :3], summed(once.mapInArrow(fit_spelling_rows(shared), "sums binary").collect(), 3))
+    shared.destroy()
+    return Model(words, tables, weights=weights, spell_weights=spell_weights)
+
+
 def scores(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
@@ -540,14 +665,15 @@ def scores(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
         words = Words([bytes(r.word) for r in top], [r.n for r in top], texts, totals["n"] + texts, totals["kinds"] + (texts > 0), totals["single"], [(bytes(r.w), r.n, r.once) for r in begins])
         shared = send(spark, words)
         bits = training.mapInArrow(bit_rows(shared), "name string, slice int, counts binary").union(vocab.select("word").mapInArrow(spell_rows, "name string, slice int, counts binary"))
-        summed = bits.groupBy("name", "slice").applyInArrow(added, "name string, slice int, counts binary")
+        sums = bits.groupBy("name", "slice").applyInArrow(added, "name string, slice int, counts binary")
         shapes = {"none": 2 * words.code.nodes, "last": 2 << words.slot_bits, "before": 2 << words.slot_bits} | {f"spell{k}": 2 << SPELL_BITS for k in range(3)}
-        tables = {k: np.zeros(n, dtype=np.int64) for k, n in shapes.items()}
-        for r in summed.collect():
-            np.array_split(tables[r.name], SLICES)[r.slice][:] = np.frombuffer(zlib.decompress(bytes(r.counts)), dtype="<i8")
-        some = [bytes(x.t) for x in training.select(F.substring("t", 1, FIT_BYTES).alias("t"), F.xxhash64("t").alias("h")).orderBy("h", "t").limit(FIT_TEXTS).collect()]
-        once = [bytes(x.word) for x in vocab.where("n = 1 AND length(word) < 100").orderBy(F.xxhash64("word"), "word").limit(FIT_WORDS).select("word").collect()]
-        model = send(spark, Model(words, tables, some, once))
+        tables = {k: np.zeros(n, dtype=np.int32) for k, n in shapes.items()}
+        for r in sums.collect():
+            counts = np.frombuffer(zlib.decompress(bytes(r.counts)), dtype="<i8")
+            if counts.max() >= 2**31 and tables[r.name].dtype == np.int32:
+                tables[r.name] = tables[r.name].astype(np.int64)
+            np.array_split(tables[r.name], SLICES)[r.slice][:] = counts
+        model = send(spark, fitted_model(words, tables, training, vocab))
         parts = tmp.table(rows.mapInArrow(score_rows(model), PARTS), "parts")
         v = words.total + words.kinds + 1
         tail = parts.where("word IS NOT NULL").select("rid", "word", F.col("n").alias("times"), "coded", "share", "spelled").join(vocab, "word", "left")

@@ -125,6 +125,35 @@ def test_weights_are_fitted_and_refined_in_short_texts():
     assert not np.allclose(learned.weights, m.weights) and not np.allclose(learned.spell_weights, m.spell_weights)
 
 
+def test_weights_are_fitted_on_all_training_texts(docs, rows, monkeypatch):
+    stepped, seen = context_mixing.stepped, []
+    monkeypatch.setattr(context_mixing, "stepped", lambda weights, start, sums: seen.append((weights, sums, stepped(weights, start, sums))) or seen[-1][2])
+    monkeypatch.setattr(context_mixing, "FIT_TEXTS", 3)
+    monkeypatch.setattr(context_mixing, "FIT_WORDS", 3)
+    context_mixing.scores(docs).count()
+    curved = [sums for _, sums, _ in seen]
+    monkeypatch.setattr(context_mixing, "FIT_TEXTS", 10**6)
+    monkeypatch.setattr(context_mixing, "FIT_BYTES", 10**9)
+    monkeypatch.setattr(context_mixing, "FIT_WORDS", 10**6)
+    context_mixing.scores(docs).count()
+    assert len(seen) == 4 and all((s[:, :, 1:] != 0).any() for s in curved)
+    for few, every in zip(seen[:2], seen[2:]):  # from few texts a step comes nearer to what all of them give
+        busy = np.flatnonzero(every[1][:, 0, 1] > 200)
+        assert len(busy) and np.abs(few[2] - every[2])[busy].max() < np.abs(few[0] - every[0])[busy].max()
+
+
+def test_slopes_and_tables_that_are_given_out_in_time():
+    random.seed(2)
+    g = np.random.default_rng(0)
+    w, gate, inputs, bit = g.normal(size=(16, 2)), g.integers(0, 3, 500), tuple(g.normal(size=(2, 500)).astype(np.float32)), g.integers(0, 2, 500)
+    sums = context_mixing.slopes(w, gate.astype(np.int8), inputs, bit)
+    x = np.stack(inputs, axis=1)
+    for k in range(4):
+        own = gate == k
+        p = 1 / (1 + np.exp(-(x[own] @ w[k])))
+        assert np.allclose(sums[k, :, 0], x[own].T @ (bit[own] - p), atol=1e-2) and np.allclose(sums[k, :, 1:], (x[own] * (p * (1 - p))[:, None]).T @ x[own], atol=1e-2)
+
+
 def test_repeats_by_hand():
     random.seed(1)
     codes = np.array([random.randint(0, 3) for _ in range(60)])
