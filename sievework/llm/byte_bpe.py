@@ -71,20 +71,22 @@ class Codec:
             pieces[rank] = piece.hex()
         self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
 
-    def rank(self, piece: Column) -> Column:
-        found = F.try_element_at(self.ranks[F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")], piece)
+    @staticmethod
+    def rank(piece: Column, ranks: Column) -> Column:
+        found = F.try_element_at(ranks[F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")], piece)
         return F.coalesce(found, F.lit(NONE))
 
     def encode(self, word: Column) -> Column:
         """Ids of one word (a string of byte characters)."""
-        return let(word, self._ids)
+        # a name for the table: each mention of a literal would be a copy of it, on the driver and in every task
+        return let(self.ranks, lambda ranks: let(word, lambda w: self._ids(w, ranks)))
 
-    def _ids(self, word: Column) -> Column:
+    def _ids(self, word: Column, ranks: Column) -> Column:
         n = F.length(word)
 
         def spot(at: Column, end: Column) -> Column:
             """The element of a piece that makes word[at:end] with the next."""
-            return F.shiftleft(self.rank(F.substr(word, at + 1, end - at)).cast("long"), 32).bitwiseOR(at.cast("long"))
+            return F.shiftleft(self.rank(F.substr(word, at + 1, end - at), ranks).cast("long"), 32).bitwiseOR(at.cast("long"))
 
         def last(at: Column) -> Column:
             """The element of the last piece, and of the end of the word."""
@@ -105,8 +107,8 @@ class Codec:
 
         first = F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i < n - 1, spot(i, i + 2)).otherwise(last(i)))
         folded = F.aggregate(F.sequence(F.lit(1), n - 1), first, merge)
-        ids = let(folded, lambda s: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda x, k: self.rank(F.substr(word, start(x) + 1, start(F.get(s, k + 1)) - start(x)))))
-        return let(self.rank(word), lambda whole: F.when((whole < NONE) | (n < 2), F.array(whole)).otherwise(ids))
+        ids = let(folded, lambda s: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda x, k: self.rank(F.substr(word, start(x) + 1, start(F.get(s, k + 1)) - start(x)), ranks)))
+        return let(self.rank(word, ranks), lambda whole: F.when((whole < NONE) | (n < 2), F.array(whole)).otherwise(ids))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ids."""

@@ -11,6 +11,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sievework.llm import byte_bpe, context_mixing, exact_dedup, jaccard_join, language_id, packing, queries
@@ -177,6 +178,14 @@ def test_byte_bpe_equals_library(docs, rows):
     assert byte_bpe.round_trip(docs.limit(0), path, public.PATTERN).count() == 0
 
 
+def test_a_plan_holds_the_ranks_once(spark):
+    ranks = {bytes([b]): b for b in range(256)} | {b"qzq": 256}
+    codec = byte_bpe.Codec(ranks)
+    ids = spark.createDataFrame([("aqzq",)], ["w"]).select(codec.encode(F.col("w")).alias("ids"))
+    assert ids._jdf.queryExecution().optimizedPlan().toString().count("qzq ->") <= 1
+    assert ids._jdf.queryExecution().analyzed().toString().count("from_json") == 1
+
+
 def test_segmentations_are_summed():
     pieces = ["", "▁", "a", "b", "ab", "▁a"]
     lattice = language_id.Lattices(["▁ab"], language_id.numbered(pieces))
