@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import bits_for, components, cut, keep_rows, looked_up, most_frequent, perhaps_in, scratch, slices, text_bytes
+from sievework.llm.common import bits_for, components, cut, frugal, keep_rows, looked_up, most_frequent, perhaps_in, scratch, slices, text_bytes
 
 #: Sets, and n-grams, of a block; one task compares at most two blocks with each other.
 BLOCK, BLOCK_GRAMS = 1024, 1_000_000
@@ -437,7 +437,7 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text")).alias("text_hash"), text_bytes().alias("t"))
     with scratch(spark) as tmp:
-        sets = tmp.table(base.mapInArrow(set_rows(n, threshold, lower), SETS), "sets")
+        sets = tmp.table(base.mapInArrow(frugal(set_rows(n, threshold, lower)), SETS), "sets")
         for seed in range(100):  # until no two sets have the same 64-bit name
             node = F.when(F.col("digest").isNotNull(), F.xxhash64("digest", F.lit(seed))).alias("node")
             rows = sets.select("doc_id", "n_shingles", "text_hash", node, "digest", "sketch")
@@ -448,7 +448,7 @@ def similar_groups(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4
         clusters = components(_candidates(sets.where("digest IS NOT NULL").select(node, "keys"), names, threshold))
         asked = cut(clusters.join(names.select("node", "some_text"), "node"))
         some = perhaps_in(base, F.col("text_hash"), asked.select("some_text"), bits=bits_for(asked.count())).where("perhaps").select("t")
-        grams = some.mapInArrow(gram_rows(n, lower), "digest binary, grams binary").select(F.xxhash64("digest", F.lit(seed)).alias("node"), "grams")
+        grams = some.mapInArrow(frugal(gram_rows(n, lower)), "digest binary, grams binary").select(F.xxhash64("digest", F.lit(seed)).alias("node"), "grams")
         held = tmp.table(grams.join(asked.select("node", "component"), "node"), "grams")
         found = components(_links(held, clusters, threshold, block))
         named = names.select("node", "low", "n").join(found, "node", "left").select("node", "low", "n", F.coalesce("component", "node").alias("first"))
@@ -463,7 +463,7 @@ def _candidates(keyed: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
     """Edges (u, v) whose components hold all links. keyed: node, keys; nodes: node, size, sketch."""
     group = Window.partitionBy("key")
     sums = {"n": F.count("*"), "lo": F.min("node"), "hi": F.max("node"), "members": F.bit_xor(F.xxhash64("node")), "all": F.max(F.col("node").isNull())}
-    met = keyed.mapInArrow(key_rows, "key long, node long").select("key", "node", *[f.over(group).alias(k) for k, f in sums.items()])
+    met = keyed.mapInArrow(frugal(key_rows), "key long, node long").select("key", "node", *[f.over(group).alias(k) for k, f in sums.items()])
     met = cut(met.where("lo <> hi AND node IS NOT NULL"))
     whole = F.col("all") | (F.col("n") > GROUP)
     sure = met.where(whole).select(F.col("node").alias("u"), F.col("lo").alias("v"))
@@ -471,13 +471,13 @@ def _candidates(keyed: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
     once = met.where(~whole).groupBy("n", "lo", "hi", "members").agg(F.min("key").alias("key")).select("key")
     asked = met.where(~whole).join(once, "key", "left_semi").select("key", "node").join(nodes.select("node", "size", "sketch"), "node")
     sorted_ = asked.select("key", "node", "size", "sketch").repartition("key").sortWithinPartitions("key", "node")
-    return sure.where("u <> v").unionByName(sorted_.mapInArrow(tie_rows(t), "u long, v long"))
+    return sure.where("u <> v").unionByName(sorted_.mapInArrow(frugal(tie_rows(t)), "u long, v long"))
 
 
 def _links(held: DataFrame, clusters: DataFrame, t: Fraction, block: int) -> DataFrame:
     """Links (u, v) that connect the sets of each candidate cluster as all its links do. held: node, component, grams."""
     spark = held.sparkSession
-    counted = cut(held.select("grams").mapInArrow(often, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    counted = cut(held.select("grams").mapInArrow(frugal(often), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     top = sorted(most_frequent(counted, RANKED).collect(), key=lambda r: (-r.n, r.gram))
     ranked = spark.sparkContext.broadcast(np.array([r.gram for r in top], dtype=np.int64).tobytes())
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.common import fold_of, received, send, slices, text_bytes
+from sievework.llm.common import fold_of, frugal, give_back, received, send, slices, text_bytes
 
 #: Bounds of the labelled sample that the model is fitted on: documents of a language, words of it (the most frequent), languages (those with most documents).
 SAMPLE, WORDS, LANGUAGES = 200, 40_000, 10_000
@@ -176,12 +176,14 @@ def word_counts(batches):
 def learn(labelled: DataFrame, vocabulary_path: str, size: int = SAMPLE, words: int = WORDS):
     """The model, from doc_id, text and lang (rows without lang are left out)."""
     rows = sample(labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id"), "text", F.col("lang").cast("string").alias("lang")), size)
-    found = rows.select("lang", text_bytes().alias("t")).mapInArrow(word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    found = rows.select("lang", text_bytes().alias("t")).mapInArrow(frugal(word_counts), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     most = found.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("at") <= words)
     counts: dict = defaultdict(dict)
     for r in most.select("lang", "word", "n").collect():
         counts[r.lang][bytes(r.word).decode()] = r.n
-    return (*fit_pieces({k: dict(sorted(v.items())) for k, v in counts.items()}, pieces := vocabulary(vocabulary_path)), pieces)
+    model = (*fit_pieces({k: dict(sorted(v.items())) for k, v in counts.items()}, pieces := vocabulary(vocabulary_path)), pieces)
+    give_back()
+    return model
 
 
 def word_logs(words: list[str], number: dict[str, int], probabilities):
@@ -244,7 +246,7 @@ def predict(rows: DataFrame, model) -> DataFrame:
     """
     shared = send(rows.sparkSession, model)
     out = T.StructType([T.StructField("row", rows.schema[0].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("likelihood", T.DoubleType())])
-    return rows.toDF("row", "t").mapInArrow(predict_rows(shared), out)
+    return rows.toDF("row", "t").mapInArrow(frugal(predict_rows(shared)), out)
 
 
 def in_known_language(docs: DataFrame, vocabulary_path: str, fold: int = 3, held: int = 1, least: float = FOREIGN) -> DataFrame:

@@ -21,7 +21,7 @@ from itertools import chain, count, islice
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import cut, slices, text_bytes
+from sievework.llm.common import cut, frugal, slices, text_bytes
 
 WINDOW = 2048
 #: Pieces a packing group holds, about; a group is one task's work.
@@ -204,7 +204,7 @@ def piece_rows(path: str, window: int, end_id: int):
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 1, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t"))
-    pieces = cut(narrow.mapInArrow(piece_rows(tokenizer_path, window, end_id), PIECES))
+    pieces = cut(narrow.mapInArrow(frugal(piece_rows(tokenizer_path, window, end_id)), PIECES))
     groups = max(1, -(-pieces.count() // group_pieces))
 
     def packed(key, pdf):

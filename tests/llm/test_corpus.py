@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievework.llm import byte_bpe, context_mixing, exact_dedup, jaccard_join, language_id, packing, queries
+from sievework.llm import byte_bpe, common, context_mixing, exact_dedup, jaccard_join, language_id, packing, queries
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -440,3 +440,18 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert {r.doc_id for r in now.collect()} == {r.doc_id for r in kept.collect()}
     texts = [r.text for r in kept.collect()]
     assert len(texts) == len(set(texts))
+
+
+def test_workers_give_memory_back(spark, docs, monkeypatch):
+    given, used = [], []
+    monkeypatch.setattr(common, "give_back", lambda: given.append("back"))
+    assert list(common.frugal(lambda batches: (given.append(b) or b for b in batches))(iter([1, 2]))) == [1, 2]
+    assert given == [1, 2, "back"]
+    monkeypatch.undo()
+    common.give_back()
+    # every stage's Arrow functions do so
+    kind, run = type(docs), type(docs).mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *more, **named: used.append(f.__qualname__) or run(self, f, *more, **named))
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, "")
+    assert len(used) >= 8 and all(x.startswith("frugal.") for x in used)
