@@ -57,6 +57,8 @@ TRUST = np.array([0.0, 0.2, 0.4, 0.55])
 SLICES = 64
 #: Different pairs of context and symbol that a task gathers, and of which it counts the bits at once; bytes of texts and of words that are fitted at once.
 GATHERED, COUNTED, FITTED, FITTED_WORDS = 1_000_000, 50_000, 300_000, 60_000
+#: Tokens whose bits are fitted at once, so few that they stay in a cache.
+SPREAD = 1 << 13
 #: Tokens and texts worked on at once.
 TOKENS, TEXTS = 400_000, 256
 PARTS = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, word binary, n long, coded long, share double, spelled double"
@@ -107,11 +109,16 @@ class Code:
         self.bit = np.array([x for p in paths for _, x in p], dtype=np.int64)
         self.nodes = max(n - 1, 1)
 
+    def spread(self, symbols):
+        """(how many bits each of a sequence of symbols has, place in the table of all paths of every bit)."""
+        n = self.length[symbols]
+        ends = np.cumsum(n)
+        return n, np.arange(ends[-1] if len(n) else 0) + np.repeat(self.start[symbols] - ends + n, n)
+
     def places(self, symbols):
         """(place of the symbol, place in the table of all paths) of every bit of a sequence of symbols."""
-        n = self.length[symbols]
-        who = np.repeat(np.arange(len(symbols)), n)
-        return who, np.arange(len(who)) + (self.start[symbols] - np.cumsum(n) + n)[who]
+        n, at = self.spread(symbols)
+        return np.repeat(np.arange(len(n)), n), at
 
     def bits(self, symbols):
         """(place of the symbol, node, bit) of every bit of a sequence of symbols."""
@@ -362,12 +369,26 @@ def gated(start, gate, inputs, bit, pull: float = 20.0, rounds: int = 8):
     return out
 
 
-def left_out_fast(table, slot, bit, strength: float):
-    """left_out() in single precision."""
-    pairs = table.reshape(-1, 2)[slot]
-    zero, one = np.maximum(pairs[:, 0] - (bit == 0), 0).astype(np.float32), np.maximum(pairs[:, 1] - (bit == 1), 0).astype(np.float32)
-    n = zero + one
-    return np.log((one + np.float32(strength)) / (zero + np.float32(strength))), (n >= 1).view(np.int8) + (n >= 4).view(np.int8) + (n >= 32).view(np.int8)
+def packed(odds, trust):
+    """Log odds in single precision that hold their trust class in the two lowest bits: one look gives both."""
+    return (odds.astype(np.float32).view(np.int32) & ~np.int32(3) | trust.astype(np.int32)).view(np.float32)
+
+
+def trust_of(odds):
+    return odds.view(np.int32) & np.int32(3)
+
+
+def left_out_packed(table, strength: float):
+    """left_out() of each place 2 * slot + bit of a table of bit counts, packed."""
+    out = np.empty(len(table), dtype=np.float32)
+    for a in range(0, len(table), 1 << 18):
+        pairs = table[a : a + (1 << 18)].reshape(-1, 2)
+        for bit in (0, 1):
+            zero, one = (np.maximum(pairs[:, k] - (k == bit), 0).astype(np.float32) for k in (0, 1))
+            n = zero + one
+            odds = np.log((one + np.float32(strength)) / (zero + np.float32(strength)))
+            out[a + bit : a + (1 << 18) : 2] = packed(odds, (n >= 1).view(np.int8) + (n >= 4).view(np.int8) + (n >= 32).view(np.int8))
+    return out
 
 
 def slopes(weights, gate, inputs, bit):
@@ -410,21 +431,25 @@ def fit_rows(shared):
 
     def run(batches):
         words, tables, weights = received(shared)
+        code, bits = words.code, words.slot_bits
         kinds, number, total = np.concatenate([words.kinds_of_words, np.arange(len(words.begins) + 1)]), by_begin(words), 0
+        # what depends only on the place in the table of all paths
+        _, of_node = halves(0, code.node)
+        none_at, bit_at = tables["none"][2 * code.node + code.bit], code.bit.astype(np.float32)
         for batch in slices(batches):
             texts = [t.as_buffer().to_pybytes() for t in batch.column(0)]
             for run_ in in_parts(texts, FITTED):
                 codes, first, _ = tokenised([texts[i] for i in run_], number)
                 every = np.flatnonzero(~repeats(codes, first)[1])
-                contexts_, symbols = contexts(codes, first, words), words.symbols(codes, kinds)
-                for a in range(0, len(every), FITTED // 4):
-                    ask = every[a : a + FITTED // 4]
-                    who, node, bit = words.code.bits(symbols[ask])
-                    last, before = (c[ask][who] for c in contexts_)
-                    none, _ = left_out_fast(tables["none"], node, bit, 0.4)
-                    of_last, seen1 = left_out_fast(tables["last"], hashed(last, node, words.slot_bits), bit, 0.05)
-                    of_before, seen2 = left_out_fast(tables["before"], hashed(before + 1000, node, words.slot_bits), bit, 0.05)
-                    total = total + slopes(weights, 4 * seen1 + seen2, (none, of_last, of_before, np.full(len(bit), 0.3, dtype=np.float32)), bit)
+                (last, before), symbols = contexts(codes, first, words), words.symbols(codes, kinds)
+                of_last, of_before = halves(last, 0)[0], halves(before + 1000, 0)[0]
+                for a in range(0, len(every), SPREAD):
+                    ask = every[a : a + SPREAD]
+                    n, at = code.spread(symbols[ask])
+                    half, bit = of_node[at], code.bit[at]
+                    o1, o2 = (tables[k][2 * slots_of(np.repeat(x[ask], n) + half, bits) + bit] for k, x in (("last", of_last), ("before", of_before)))
+                    gate = (4 * trust_of(o1) + trust_of(o2)).astype(np.int8)
+                    total = total + slopes(weights, gate, (none_at[at], o1, o2, np.full(len(at), 0.3, dtype=np.float32)), bit_at[at])
         if isinstance(total, np.ndarray):
             yield sums_batch(total)
 
@@ -441,8 +466,8 @@ def fit_spelling_rows(shared):
             words = [w.as_buffer().to_pybytes() for w in batch.column(0)]
             for run_ in in_parts(words, FITTED_WORDS):
                 _, slots, bit = spelling([words[i] for i in run_])
-                (o1, _), (o2, seen2), (o3, seen3) = (left_out_fast(t, slot, bit, 0.2) for t, slot in zip(tables, slots))
-                total = total + slopes(weights, 4 * seen2 + seen3, (o1, o2, o3), bit)
+                o1, o2, o3 = (t[2 * slot + bit] for t, slot in zip(tables, slots))
+                total = total + slopes(weights, (4 * trust_of(o2) + trust_of(o3)).astype(np.int8), (o1, o2, o3), bit)
         if isinstance(total, np.ndarray):
             yield sums_batch(total)
 
@@ -463,7 +488,7 @@ class Model:
         """texts and spellings: training texts and words that the starting weights are fitted on, where these are not given."""
         self.words = words
         self.none = predictor(tables["none"], 0.4)
-        self.last, self.before = predictor(tables["last"], 0.05), predictor(tables["before"], 0.05)
+        self.last, self.before = packed(*predictor(tables["last"], 0.05)), packed(*predictor(tables["before"], 0.05))
         self.spell = [predictor(tables[f"spell{k}"], 0.2) for k in range(3)]
         w = starting()
         self.weights, self.spell_weights = w if weights is None else weights, w[:, :3] if spell_weights is None else spell_weights
@@ -504,23 +529,25 @@ class Model:
         weights = np.tile(self.weights.astype(np.float32).T, docs)  # a row for each input
         rows, code, slot_bits = weights.shape[1], self.words.code, self.words.slot_bits
         of_last, of_node = halves(last, code.node)
+        none_at, sign_at = self.none[0][code.node], (2 * code.bit - 1).astype(np.float32)
         of_before, _ = halves(before + 1000, 0)
         block = np.where(place < FRESH, place // BLOCK, FRESH // BLOCK + (place - FRESH) // LATER)
         order = np.argsort(block, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []:
             for a in range(0, len(part), 1 << 16):
                 p = part[a : a + (1 << 16)]
-                who, at = code.places(symbols[p])
+                n, at = code.spread(symbols[p])
                 half = of_node[at]
-                s1, s2 = slots_of(of_last[p][who] + half, slot_bits), slots_of(of_before[p][who] + half, slot_bits)
-                row = (doc[p] * 16)[who] + self.last[1][s1] * np.int64(4) + self.before[1][s2]
-                inputs = (self.none[0][code.node[at]], self.last[0][s1], self.before[0][s2])
+                o1 = self.last[slots_of(np.repeat(of_last[p], n) + half, slot_bits)]
+                o2 = self.before[slots_of(np.repeat(of_before[p], n) + half, slot_bits)]
+                row = np.repeat(doc[p] * 16, n) + (4 * trust_of(o1) + trust_of(o2))
+                inputs = (none_at[at], o1, o2)
                 z = weights[3][row] * np.float32(0.3)
                 for k, x in enumerate(inputs):
                     z += weights[k][row] * x
-                sign = (2 * code.bit[at] - 1).astype(np.float32)
+                sign = sign_at[at]
                 against = np.exp(np.minimum(-sign * z.astype(np.float64), 60))  # odds of the bit that did not come
-                out[p] = -np.bincount(who, np.log(1 + against), len(p)) / np.log(10)
+                out[p] = -np.add.reduceat(np.log(1 + against), np.cumsum(n) - n) / np.log(10)  # each symbol has a bit or more
                 wrong = sign * (against / (1 + against))
                 rate = RATE / (np.bincount(row, minlength=rows) + 32)
                 for k, x in enumerate((*inputs, np.float32(0.3))):
@@ -640,10 +667,10 @@ def fitted_model(words: Words, tables: dict, training: DataFrame, vocab: DataFra
     begun = Model(words, tables, some, few)
     weights, spell_weights = begun.weights, begun.spell_weights
     del begun
-    shared = send(spark, (words, {k: tables[k] for k in ("none", "last", "before")}, weights))
+    shared = send(spark, (words, {k: left_out_packed(tables[k], 0.4 if k == "none" else 0.05) for k in ("none", "last", "before")}, weights))
     weights = stepped(weights, starting(), summed(training.mapInArrow(fit_rows(shared), "sums binary").collect(), 4))
     shared.destroy()
-    shared = send(spark, ([tables[f"spell{k}"] for k in range(3)], spell_weights))
+    shared = send(spark, ([left_out_packed(tables[f"spell{k}"], 0.2) for k in range(3)], spell_weights))
     spell_weights = stepped(spell_weights, starting()[:, :3], summed(once.mapInArrow(fit_spelling_rows(shared), "sums binary").collect(), 3))
     shared.destroy()
     return Model(words, tables, weights=weights, spell_weights=spell_weights)

@@ -155,6 +155,21 @@ def test_slopes_and_tables_that_are_given_out_in_time():
         assert np.allclose(sums[k, :, 0], x[own].T @ (bit[own] - p), atol=1e-2) and np.allclose(sums[k, :, 1:], (x[own] * (p * (1 - p))[:, None]).T @ x[own], atol=1e-2)
 
 
+def test_one_look_gives_odds_and_trust():
+    g = np.random.default_rng(1)
+    table = g.integers(0, 40, 2 << 19).astype(np.int32) * g.integers(0, 2, 2 << 19).astype(np.int32)
+    slot, bit = g.integers(0, 1 << 19, 5000), g.integers(0, 2, 5000)
+    odds, trust = context_mixing.left_out(table, slot, bit, 0.05)
+    found = context_mixing.left_out_packed(table, 0.05)[2 * slot + bit]
+    assert np.allclose(found, odds, atol=1e-5) and (context_mixing.trust_of(found) == trust).all()
+    odds, trust = context_mixing.predictor(table, 0.05)
+    found = context_mixing.packed(odds, trust)
+    assert np.allclose(found, odds, atol=1e-5) and (context_mixing.trust_of(found) == trust).all()
+    code = context_mixing.Code([5, 3, 2, 1])
+    n, at = code.spread(np.array([3, 0, 2]))
+    assert n.tolist() == [len(p) for p in (code.bits(np.array([k]))[0] for k in (3, 0, 2))] and at.tolist() == code.places(np.array([3, 0, 2]))[1].tolist()
+
+
 def test_repeats_by_hand():
     random.seed(1)
     codes = np.array([random.randint(0, 3) for _ in range(60)])
@@ -374,8 +389,7 @@ def test_jaccard_join(spark, docs, rows, n, t, block):
 
 
 def test_signatures_of_many_sets_are_combined(monkeypatch):
-    import pyarrow as pa
-
+    
     monkeypatch.setattr(jaccard_join, "MANY", 3)
     sigs = {node: np.array([1, 2 + node % 2, 100 + node], dtype=np.uint64).tobytes() for node in range(10, 20)}
     batch = pa.RecordBatch.from_arrays([pa.array(list(sigs)), pa.array(list(sigs.values()), pa.binary())], names=["node", "keys"])
