@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import json
-from collections import Counter, defaultdict
+from collections import defaultdict
 from itertools import count
 
 import numpy as np
@@ -73,7 +73,7 @@ class Codec:
 
     @staticmethod
     def rank(piece: Column, ranks: Column) -> Column:
-        found = F.try_element_at(ranks[F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")], piece)
+        found = F.try_element_at(ranks[F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")], piece)
         return F.coalesce(found, F.lit(NONE))
 
     def encode(self, word: Column) -> Column:
@@ -100,7 +100,7 @@ class Codec:
                 return F.array_compact(F.transform(pieces, lambda x, k: F.when((k < i - 1) | (k > i + 1), x).when(k == i, grown).when(k == i - 1, spot(start(x), after))))
 
             def step(low: Column) -> Column:
-                at = F.array_max(F.transform(pieces, lambda x, k: F.when(x == low, k)))
+                at = (F.array_position(pieces, low) - 1).cast("int")
                 return F.when(low >= NONE << 32, pieces).otherwise(let(at, lambda i: joined(low, i)))
 
             return let(F.array_min(pieces), step)
@@ -118,20 +118,23 @@ class Codec:
 def count_rows(batches):
     """(word, n) of words between white space that a task sees twice or more."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    found: Counter = Counter()
+    parts: list = []
 
     def some():
-        often = [(w, n) for w, n in found.items() if n > 1]
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.binary()), pa.array([n for _, n in often], pa.int64())], names=["word", "n"])
+        found = pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")])
+        found = found.filter(pc.greater(found["n_sum"], 1)).rename_columns(["word", "n"])
+        parts.clear()
+        return found.to_batches()
 
     for batch in slices(batches):
-        for t in batch.column(0):
-            found.update(t.as_buffer().to_pybytes().split())
-        if len(found) > COUNTED:
-            yield some()
-            found.clear()
-    yield some()
+        words = pc.value_counts(pc.list_flatten(pc.ascii_split_whitespace(batch.column(0).view(pa.string()))))
+        parts.append(pa.table({"word": words.field("values").view(pa.binary()), "n": words.field("counts")}).filter(pc.greater(pc.binary_length(words.field("values")), 0)))
+        if sum(map(len, parts)) > COUNTED:
+            yield from some()
+    if parts:
+        yield from some()
 
 
 def match_rows(pattern: str):
@@ -196,6 +199,7 @@ def document_rows(shared):
         n, written = len(frequent), [",".join(map(str, ids)) for chunk in frequent.column(1).chunks for ids in chunk.to_pylist()]
         sizes = np.array([x.count(",") + 1 for x in written], dtype=np.int64)
         pieces = frequent.column(2).to_pylist()
+        del frequent
         for batch in batches:
             for docs, codes, ids, decoded in zip(*(batch.column(k) for k in range(4))):
                 flat = ids.values

@@ -10,6 +10,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +181,17 @@ def test_repeats_by_hand():
         assert has[i] == (j is not None) and hit[i] == (j is not None and codes[j + 1] == codes[i])
 
 
+def test_byte_bpe_counts_words_of_a_task():
+    texts = [b"a b  a\tc\x0bc\x0cd", b"", b" \n ", "\u00e9 \u00e9\u00a0x \u00e9\u00a0x \x1c".encode(), b"b"] * 700
+    got = Counter()
+    for out in byte_bpe.count_rows([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["t"])]):
+        assert out.schema.types == [pa.binary(), pa.int64()]
+        got.update(dict(zip(*(c.to_pylist() for c in out.columns))))
+    assert got == Counter(w for t in texts for w in t.split())
+    assert sum(out.num_rows for out in byte_bpe.count_rows([pa.RecordBatch.from_arrays([pa.array([b"one two"], pa.binary())], names=["t"])])) == 0
+    assert list(byte_bpe.count_rows([])) == []  # a task without rows gives nothing
+
+
 def test_byte_bpe_equals_library(docs, rows):
     import public_tokenizers as public
     import tiktoken
@@ -389,7 +401,8 @@ def test_jaccard_join(spark, docs, rows, n, t, block):
 
 
 def test_signatures_of_many_sets_are_combined(monkeypatch):
-    
+    import pyarrow as pa
+
     monkeypatch.setattr(jaccard_join, "MANY", 3)
     sigs = {node: np.array([1, 2 + node % 2, 100 + node], dtype=np.uint64).tobytes() for node in range(10, 20)}
     batch = pa.RecordBatch.from_arrays([pa.array(list(sigs)), pa.array(list(sigs.values()), pa.binary())], names=["node", "keys"])
